@@ -3,9 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import quality_rules
-from tessera.llm.scratch import small_batches
+from tessera.llm import quality_rules, sharding
+from tessera.llm.scratch import Scratch, small_batches
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    narrow = docs.select(
+        "doc_id",
+        sharding.text_size().alias("size"),
+        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.xxhash64("text").alias("text_hash"),
+    )
+    rows = Scratch(spark, "shards").table(narrow, "rows")
+    out = sharding.assign(rows, 8, group="text_hash", id_col="doc_id", size="size")
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +30,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op10_quality_rules": op10_quality_rules}
+    return {"op8_sharding": op8_sharding, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
