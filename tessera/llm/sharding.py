@@ -18,7 +18,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tessera.llm.numbering import bins_for, number
 
 BITS = 12
 
@@ -119,19 +120,13 @@ def assign(rows: DataFrame, n_shards: int, group: str, id_col: str, size: str, b
     h, t = F.xxhash64(F.col(group)), F.xxhash64(F.col(id_col))
     keys = rows.select(h.alias("h"), t.alias("t"), F.col(size).alias("size"))
     bounds = splitters(keys, n_shards, **tolerances)
-    n_bins = max(16, -(-rows.count() // (n_shards * bin_rows)))
     placed = (
         rows.drop("shard", "slot")
         .withColumns({"__h": h, "__t": t})
         .withColumn("shard", _shard_of(bounds, 0, len(bounds)).cast("int"))
-        .withColumn("__bin", F.pmod(F.col("__t"), F.lit(n_bins)))
     )
-    counts = placed.groupBy("shard", "__bin").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "__bin", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    in_bin = Window.partitionBy("shard", "__bin").orderBy("__h", "__t", id_col)
-    out = placed.join(starts, ["shard", "__bin"]).withColumn("slot", F.col("__start") + F.row_number().over(in_bin) - 1)
-    return out.select(*[f"`{c}`" for c in rows.columns if c not in ("shard", "slot")], "shard", F.col("slot").cast("long").alias("slot"))
+    out = number(placed, ["shard"], F.col("__t"), ["__h", "__t", id_col], "slot", bins_for(rows.count(), n_shards, bin_rows))
+    return out.select(*[f"`{c}`" for c in rows.columns if c not in ("shard", "slot")], "shard", "slot")
 
 
 def write_shards(rows: DataFrame, path: str) -> None:
