@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, quality_rules, sharding
+from tessera.llm import language_id, packing, quality_classifier, quality_rules, sharding
 from tessera.llm.scratch import Scratch, small_batches
 
 
@@ -21,6 +21,23 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), packing.Capacity(1024))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language_id.fit(docs.select("doc_id", "text", "lang").where(~language_id.held_out()))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    model = quality_classifier.fit(docs, labels.where(~language_id.held_out()))
+    found = quality_classifier.score(docs, model)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "score", "predicted")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     narrow = docs.select(
@@ -42,7 +59,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op4_best_fit_packing": op4_best_fit_packing, "op8_sharding": op8_sharding, "op10_quality_rules": op10_quality_rules}
+    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
