@@ -16,6 +16,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,16 +43,78 @@ class Capacity:
     weights: tuple[float, float, float] = (1.0, 0.1, 0.1)
 
 
-_loaded: dict[str, object] = {}
+class Encoder:
+    """Ids of whole texts, each distinct chunk encoded once.
 
+    No token of a byte-level model spans the start of a run of white space, so a text may be cut before a space or line
+    end that follows something else, and its ids are the chunks' ids one after another.
+    """
+
+    _ODD = re.compile("[\x00\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    _CUT = re.compile(r"(?<=\S)(?=[ \n])")  # \S is narrower in Python than in the tokenizer, so a cut is always right
 
-def _tokenizer(path: str):
-    if path not in _loaded:
+    def __init__(self, path: str, cache_chunks: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        _loaded[path] = Tokenizer.from_file(path)
-    return _loaded[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.byte_level = "ByteLevel" in type(self.tokenizer.pre_tokenizer).__name__ and self.tokenizer.normalizer is None
+        self.line_end = self._ids(["\n"])[0] if self.byte_level else []
+        self.cache: dict[str, bytes] = {}
+        self.cache_chunks = cache_chunks
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def chunks(self, text: str) -> list[str]:
+        if not self.byte_level or any(t in text for t in self.special):
+            return [text]
+        if self._ODD.search(text) is None:
+            cut = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+            lone = cut.count(" ") + cut.count("\n")
+            if not lone or (lone == 1 and cut[-1] in (" ", "\n")):
+                return cut
+        return self._CUT.split(text)
+
+    def _learn(self, fresh: list[str]) -> None:
+        # chunks without a line end are joined by one, which is a token by itself, and encoded in few calls
+        single = len(self.line_end) == 1
+        joined = [c for c in fresh if c[:1] == " " and "\n" not in c and c[-1] != " " and self._ODD.search(c) is None] if single else []
+        for at in range(0, len(joined), 2000):
+            part = joined[at : at + 2000]
+            ids = np.array(self._ids(["\n".join(part)])[0], "<u4")
+            ends = np.append(np.flatnonzero(ids == self.line_end[0]), len(ids))
+            if len(ends) != len(part):  # never seen; then one by one
+                self.cache.update((c, np.array(i, "<u4").tobytes()) for c, i in zip(part, self._ids(part)))
+                continue
+            begin = 0
+            for chunk, end in zip(part, ends.tolist()):
+                self.cache[chunk] = ids[begin:end].tobytes()
+                begin = end + 1
+        rest = [c for c in fresh if c not in self.cache]
+        self.cache.update((c, np.array(i, "<u4").tobytes()) for c, i in zip(rest, self._ids(rest)))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        cut = [self.chunks(t) if t else [] for t in texts]
+        if len(self.cache) > self.cache_chunks:
+            self.cache.clear()
+        fresh = list(set().union(*cut).difference(self.cache)) if cut else []
+        if fresh:
+            self._learn(fresh)
+        get = self.cache.__getitem__
+        return [b"".join(map(get, c)) for c in cut]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder a process."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2, with_ids: bool = False, chars: int = 2_000_000) -> DataFrame:
@@ -62,7 +125,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2, w
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _tokenizer(tokenizer).encode_batch
+        encode = encoder(tokenizer).encode
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             at = 0
@@ -72,8 +135,8 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2, w
                     n += len(texts[end])
                     end += 1
                 out: list[list] = [[], [], [], [], [], []]
-                for doc, e in zip(ids[at:end], encode(texts[at:end], add_special_tokens=False)):
-                    tokens = np.append(np.array(e.ids, "<u4"), np.array([end_id], "<u4"))
+                for doc, raw in zip(ids[at:end], encode(texts[at:end])):
+                    tokens = np.append(np.frombuffer(raw, "<u4"), np.array([end_id], "<u4"))
                     first = len(tokens) % size or size
                     starts = [0, *range(first, len(tokens), size)]
                     for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(tokens)])):
