@@ -51,6 +51,7 @@ class Encoder:
     """
 
     _ODD = re.compile("[\x00\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    _MARK = re.compile(r"[\W_][,.][ \n]|^[,.][ \n]")
     _CUT = re.compile(r"(?<=\S)(?=[ \n])")  # \S is narrower in Python than in the tokenizer, so a cut is always right
 
     def __init__(self, path: str, cache_chunks: int = 500_000):
@@ -71,27 +72,30 @@ class Encoder:
         if not self.byte_level or any(t in text for t in self.special):
             return [text]
         if self._ODD.search(text) is None:
-            cut = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+            if self._MARK.search(text) is None:  # a mark after a letter or digit and before a space is a token by itself
+                text = text.replace(", ", "\0,\0 ").replace(". ", "\0.\0 ").replace(".\n", "\0.\0\n").replace(" ", "\0 ").replace("\n", "\0\n").replace("\0\0", "\0")
+                cut = text.split("\0")
+            else:
+                cut = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
             lone = cut.count(" ") + cut.count("\n")
             if not lone or (lone == 1 and cut[-1] in (" ", "\n")):
                 return cut
+            text = text.replace("\0", "")
         return self._CUT.split(text)
 
     def _learn(self, fresh: list[str]) -> None:
-        # chunks without a line end are joined by one, which is a token by itself, and encoded in few calls
-        single = len(self.line_end) == 1
-        joined = [c for c in fresh if c[:1] == " " and "\n" not in c and c[-1] != " " and self._ODD.search(c) is None] if single else []
+        # plain chunks are joined by line ends, each of which is a token by itself, and encoded in few calls
+        joined = [c for c in fresh if c[:1] == " " and c[-1] != " "] if len(self.line_end) == 1 else []
         for at in range(0, len(joined), 2000):
             part = joined[at : at + 2000]
-            ids = np.array(self._ids(["\n".join(part)])[0], "<u4")
-            ends = np.append(np.flatnonzero(ids == self.line_end[0]), len(ids))
-            if len(ends) != len(part):  # never seen; then one by one
-                self.cache.update((c, np.array(i, "<u4").tobytes()) for c, i in zip(part, self._ids(part)))
+            whole = "\n".join(part)
+            if whole.count("\n") != len(part) - 1 or self._ODD.search(whole) is not None:
                 continue
-            begin = 0
-            for chunk, end in zip(part, ends.tolist()):
-                self.cache[chunk] = ids[begin:end].tobytes()
-                begin = end + 1
+            ids = np.array(self._ids([whole])[0], "<u4")
+            ends = (np.append(np.flatnonzero(ids == self.line_end[0]), len(ids)) * 4).tolist()
+            if len(ends) == len(part):
+                raw = ids.tobytes()
+                self.cache.update(zip(part, [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends)]))
         rest = [c for c in fresh if c not in self.cache]
         self.cache.update((c, np.array(i, "<u4").tobytes()) for c, i in zip(rest, self._ids(rest)))
 

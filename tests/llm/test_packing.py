@@ -92,7 +92,7 @@ ENCODER = packing.encoder(tokenizer_file("byte_bpe_50k.json"))
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.lists(st.one_of(st.text(max_size=50), st.text(alphabet="ab' s,.\n\t\r\x0b\x1c\x85\xa0\u2003\u3000\x00é1", max_size=60)), max_size=6))
+@given(st.lists(st.one_of(st.text(max_size=50), st.text(alphabet="aB, .\n", max_size=40), st.text(alphabet="ab' s,.\n\t\r\x0b\x1c\x85\xa0\u2003\u3000\x00é1", max_size=60)), max_size=6))
 def test_chunks_give_the_ids_of_the_whole_text(texts):
     texts = [t.encode("utf-8", "ignore").decode() for t in texts] + ["x <|endoftext|>", "it's we'll  don't\n\n 'tis 12 34.5"]
     want = [e.ids for e in ENCODER.tokenizer.encode_batch(texts, add_special_tokens=False)]
