@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language_id, packing, quality_classifier, quality_rules, sentence_pieces, sharding
+from tessera.llm import language_id, packing, quality_classifier, quality_rules, sentence_pieces, sharding, substring_dedup
 from tessera.llm.scratch import Scratch, small_batches
 
 
@@ -34,6 +34,11 @@ def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return substring_dedup.digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), 50)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -76,4 +81,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op6_substring_dedup": substring_dedup.ORACLE_SQL, "op10_quality_rules": quality_rules.ORACLE_SQL}
