@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language_id, near_dup, packing, quality_classifier, quality_rules, sentence_pieces, sharding, substring_dedup
+from tessera.llm import embedding_dedup, language_id, near_dup, packing, quality_classifier, quality_rules, sentence_pieces, sharding, substring_dedup
 from tessera.llm.scratch import Scratch, small_batches
 
 
@@ -15,6 +15,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return embedding_dedup.link(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.98)
+
+
 def op3_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return near_dup.link(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), size=2, percent=80)
@@ -86,4 +91,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substring_dedup": substring_dedup.ORACLE_SQL, "op10_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op1_embedding_near_dup": embedding_dedup.ORACLE_SQL, "op6_substring_dedup": substring_dedup.ORACLE_SQL, "op10_quality_rules": quality_rules.ORACLE_SQL}
