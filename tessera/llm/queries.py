@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import embedding_dedup, language_id, near_dup, packing, quality_classifier, quality_rules, sentence_pieces, sharding, substring_dedup
+from tessera.llm import embedding_dedup, language_id, line_dedup, near_dup, packing, quality_classifier, quality_rules, sentence_pieces, sharding, substring_dedup
 from tessera.llm.scratch import Scratch, small_batches
 
 
@@ -20,6 +20,13 @@ def op1_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.98)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    kept = line_dedup.remove(docs, counted=True)
+    return kept.select("doc_id", "n_removed", F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return near_dup.link(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), size=2, percent=80)
