@@ -195,8 +195,9 @@ def percentiles(hist: DataFrame, bins: int, quantiles: list[float], count: str =
     """``quantile, value``: centre of the first bin whose cumulative count reaches ``max(1, ceil(q n))``; null if empty."""
     cdf = hist.select("bin", F.sum(count).over(Window.orderBy("bin")).alias("cdf"), F.sum(count).over(Window.partitionBy()).alias("n"))
     target = lambda q: F.greatest(F.lit(1), F.ceil(F.lit(float(q)) * F.col("n")))
-    values = cdf.agg(*[F.min(F.when((F.col("cdf") >= target(q)) & (F.col("n") > 0), (F.col("bin") + 0.5) / bins)).alias(str(q)) for q in quantiles])
-    return values.unpivot([], [str(q) for q in quantiles], "quantile", "value")
+    first = lambda q: F.min(F.when((F.col("cdf") >= target(q)) & (F.col("n") > 0), (F.col("bin") + 0.5) / bins))
+    each = F.array(*[F.struct(F.lit(str(q)).alias("quantile"), first(q).alias("value")) for q in quantiles])
+    return cdf.agg(each.alias("each")).select(F.explode("each").alias("e")).select("e.*")
 
 
 def margin_of_bin(value: Column | str) -> Column:

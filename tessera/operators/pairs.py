@@ -66,11 +66,12 @@ def summarize_videos(frames: DataFrame, keys: list[str] = VIDEO, deltas: tuple[i
 def video_entries(frames: DataFrame, deltas: tuple[int, ...] = DELTAS) -> DataFrame:
     """Per video: sorted frame ids, and for each delta the positions at which a pair can start."""
     ids = distinct_frames(frames).groupBy(*VIDEO).agg(F.array_sort(F.collect_list("frame_id")).alias("frame_ids"))
-    starts = {
-        f"valid_starts_delta{d}": F.filter(F.sequence(F.lit(0), F.size("frame_ids") - 1), lambda i, d=d: F.array_contains(F.col("frame_ids"), F.element_at("frame_ids", (i + 1).cast("int")) + d))
-        for d in deltas
-    }
-    return ids.withColumns(starts)
+
+    def starts(delta: int) -> Column:
+        positions = F.sequence(F.lit(0), F.size("frame_ids") - 1)
+        return F.filter(positions, lambda i: F.array_contains(F.col("frame_ids"), F.get("frame_ids", i) + delta))
+
+    return ids.withColumns({f"valid_starts_delta{d}": starts(d) for d in deltas})
 
 
 def source_groups(frames: DataFrame, mode: str, deltas: tuple[int, ...] = DELTAS) -> DataFrame:

@@ -90,22 +90,24 @@ def draw(entries: DataFrame, draws: DataFrame, seed: int, epoch: int, delta_p: d
     games = pool.groupBy("delta", "game").agg(F.count_distinct("label", "video_id").alias("n"))
     games = shares(games.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(float(alpha)))), ["delta"], "game", "w")
     rows = draws.withColumns({"delta": pick(u("delta"), delta_p).cast("int"), "ug": u("game"), "ul": u("label"), "ub": u("bucket"), "uv": u("video"), "us": u("start")})
-    inside = lambda part, number: (F.col(number) >= part["lo"]) & (F.col(number) < part["hi"])
-    rows = rows.join(games, (rows["delta"] == games["delta"]) & inside(games, "ug")).drop(games["delta"]).drop("lo", "hi")
+    games = games.select(F.col("delta").alias("__d"), "game", "lo", "hi")
+    inside = lambda number: (F.col(number) >= F.col("lo")) & (F.col(number) < F.col("hi"))
+    rows = rows.join(games, (F.col("delta") == F.col("__d")) & inside("ug")).drop("__d", "lo", "hi", "ug")
 
     held = pool.groupBy("delta", "game", "label").agg(F.collect_set("bucket").alias("held"))
     weight = F.lit(0.0)
     for label, p in label_p.items():
         weight = F.when(F.col("label") == label, F.lit(float(p))).otherwise(weight)
     labels = shares(held.withColumn("w", weight), ["delta", "game"], "label", "w").join(held, ["delta", "game", "label"])
-    rows = rows.join(labels, (rows["delta"] == labels["delta"]) & (rows["game"] == labels["game"]) & inside(labels, "ul")).drop(labels["delta"]).drop(labels["game"]).drop("lo", "hi")
+    labels = labels.select(F.col("delta").alias("__d"), F.col("game").alias("__g"), "label", "held", "lo", "hi")
+    rows = rows.join(labels, (F.col("delta") == F.col("__d")) & (F.col("game") == F.col("__g")) & inside("ul")).drop("__d", "__g", "lo", "hi", "ul")
 
     wanted = pick(F.col("ub"), mix) if mix else F.lit("ordinary")
     bucket = F.when(F.col("label") == 1, "all").when(F.array_contains("held", wanted), wanted).otherwise(F.element_at("held", 1))
-    rows = rows.withColumn("bucket", bucket).drop("held", "ug", "ul", "ub")
+    rows = rows.withColumn("bucket", bucket).drop("held", "ub")
     key = ["delta", "game", "label", "bucket"]
     videos = shares(pool, key, "video_id", "sample_weight").join(pool.select(*key, "video_id", "starts"), [*key, "video_id"])
-    found = rows.join(videos, [*key]).where(inside(videos, "uv"))
+    found = rows.join(videos, [*key]).where(inside("uv"))
     start = F.element_at("starts", (F.least(F.floor(F.col("us") * F.size("starts")), F.size("starts") - 1) + 1).cast("int"))
     return found.select("step", "slot", *key, "video_id", start.alias("start"))
 

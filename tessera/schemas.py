@@ -1,24 +1,23 @@
-"""Column types of the engine's tables, and the version stamp that written tables carry."""
+"""Column types of the engine's tables, as DDL, and the version stamp that written tables carry."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 CONTRACT_VERSION = 5
 DELTAS = (1, 2, 3)
 
-FRAMES = T.StructType.fromDDL(
+FRAMES = (
     "sample_id string, split string, game string, label int, video_id string, frame_id int, path string, "
     "width int, height int, channels int, file_size long, content_sha256 string"
 )
-SIDECAR = T.StructType.fromDDL(
+SIDECAR = (
     "stable_source_id string, negative_subtype string, scene_type string, capture_domain string, difficulty string, sample_weight double"
 )
-FINDINGS = T.StructType.fromDDL("severity string, kind string, path string, error string")
-PAIRS = T.StructType.fromDDL("game string, label int, video_id string, frame0_id int, frame1_id int, delta int, image0_path string, image1_path string")
-REPORT_ROWS = T.StructType.fromDDL(
+FINDINGS = ("severity string, kind string, path string, error string")
+PAIRS = ("game string, label int, video_id string, frame0_id int, frame1_id int, delta int, image0_path string, image1_path string")
+REPORT_ROWS = (
     "game string, label int, video_id string, frame0_id int, frame1_id int, delta int, stable_source_id string, source_version_id string, "
     "negative_subtype string, logit0 double, logit1 double, margin double, p_positive double, predicted int, error_type string, threshold_band string"
 )

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -34,3 +38,20 @@ def load(spark: SparkSession, sf_dir: str, *names: str):
     """Tables of a directory, as DataFrames in the order asked for."""
     tables = [spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in names]
     return tables[0] if len(tables) == 1 else tables
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends the package to the executors, once a Spark application, so that their Python finds its functions."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
+        root = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="tessera-")) / "tessera-package.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        context.addPyFile(str(archive))
+    return spark
