@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components, roots
+from tessera.llm.runs import by_runs, column, pairs_of
 from tessera.llm.scratch import Scratch
 
 TILE = 256
@@ -80,36 +81,37 @@ def _with_keys(rows: DataFrame, bits: int, passes: int, seed: int) -> DataFrame:
 
 
 def _compare(threshold: float):
-    """Per vector of a tile: how many vectors it is newly linked to, and a spanning link."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        rep, n, side = (table[c].to_numpy() for c in ("rep", "n", "side"))
-        which = table["pass"][0].as_py()
-        first = lambda c: table[c].chunk(0) if table[c].num_chunks else table[c].combine_chunks()
-        keys = first("keys").flatten().to_numpy().reshape(len(rep), -1)[:, :which]
-        x = _unit(first("vector").flatten().to_numpy(zero_copy_only=False), table["dims"][0].as_py())
+    """Per vector: how many vectors it is newly linked to, and a spanning link."""
+
+    def work(table: pa.Table, group: np.ndarray) -> pa.Table:
+        rep, n, side, which, dims = (table[c].to_numpy() for c in ("rep", "n", "side", "pass", "dims"))
+        flat = column(table, "vector").flatten().to_numpy(zero_copy_only=False)
+        keys = column(table, "keys").flatten().to_numpy().reshape(len(rep), -1)
+        starts = np.concatenate([[0], np.cumsum(dims)])[:-1]
         found = np.zeros(len(rep), np.int64)
-        out_a, out_b = [], []
-        for at in range(0, len(rep), 128):
-            rows = slice(at, at + 128)
-            hit = x[rows] @ x.T >= threshold
-            hit &= rep[rows, None] != rep[None]
-            if (side >= 0).any():
-                hit &= side[rows, None] != side[None]
-            i, j = np.nonzero(hit)
-            if which:
-                new = ~(keys[i + at] == keys[j]).any(axis=1)  # met in an earlier pass
-                i, j = i[new], j[new]
-            np.add.at(found, i + at, n[j])
-            out_a.append(rep[i + at])
-            out_b.append(rep[j])
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for d in np.unique(dims).tolist():
+            own = np.flatnonzero(dims == d)
+            x = _unit(flat[starts[own][:, None] + np.arange(d)], d)
+            for i, j in pairs_of(group[own], side[own], 50_000):
+                hit = (x[i] * x[j]).sum(axis=1) >= threshold
+                i, j = own[i[hit]], own[j[hit]]
+                met = ((keys[i] == keys[j]) & (np.arange(keys.shape[1]) < which[i][:, None])).any(axis=1)  # in an earlier pass
+                i, j = i[~met & (rep[i] != rep[j])], j[~met & (rep[i] != rep[j])]
+                np.add.at(found, i, n[j])
+                np.add.at(found, j, n[i])
+                out_a.append(rep[i])
+                out_b.append(rep[j])
         a, b = np.concatenate(out_a), np.concatenate(out_b)
-        root = dict(zip(*(c.tolist() for c in roots(a, b)))) if len(a) else {}
         hit = found > 0
-        return pa.table([pa.array(rep[hit]), pa.array(found[hit]), pa.array([root.get(r, r) for r in rep[hit].tolist()], pa.int64())], ["rep", "found", "root"])
+        if len(a):
+            nodes, root = roots(a, b)
+            root = root[np.searchsorted(nodes, rep[hit])]
+        else:
+            root = rep[hit]
+        return pa.table([pa.array(rep[hit]), pa.array(found[hit]), pa.array(root, pa.int64())], ["rep", "found", "root"])
 
-    return run
+    return work
 
 
 def link(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", seed: int = 11) -> DataFrame:
@@ -133,7 +135,8 @@ def link(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", ve
     side = F.when(F.col("g.x") == F.col("g.y"), -1).when(F.col("tile") == F.col("g.x"), 0).otherwise(1)
     placed = spread.select("label", "dims", "pass", "key", "g.x", "g.y", "rep", side.cast("long").alias("side"))
     full = placed.join(keyed.select("label", "dims", "rep", "vector", "n", "keys"), ["label", "dims", "rep"])
-    met = full.groupBy("label", "dims", "pass", "key", "x", "y").applyInArrow(_compare(threshold), "rep long, found long, root long")
+    full = full.withColumns({"lab": F.xxhash64("label"), "run": F.xxhash64("dims", "pass", "key")})
+    met = by_runs(full, ["lab", "run", "x", "y"], _compare(threshold), "rep long, found long, root long")
     met = scratch.table(met, "met")
 
     found = met.groupBy("rep").agg(F.sum("found").alias("found"))
