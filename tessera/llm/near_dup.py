@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
+from tessera.llm.runs import by_runs, column, pairs_of
 from tessera.llm.scratch import Scratch
 from tessera.llm.words import hashes, mix, slices, split
 
@@ -149,36 +150,32 @@ def verify(pairs: DataFrame, sketch: DataFrame, size: int, percent: int) -> Data
 
 
 def _tile_links(size: int, percent: int):
-    """Links between documents of a tile that lie in different components, from an inverted index of the tile."""
+    """Links between documents of a group that lie in different components; a pair of several groups is compared once."""
 
-    def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table["doc_id"].to_numpy(), kind="stable")
-        ids, comp, side = (table[c].to_numpy()[order] for c in ("doc_id", "component", "side"))
-        elements, bounds = _sets([table["z"][int(k)].as_py() for k in order], size)
+    def work(table: pa.Table, group: np.ndarray) -> pa.Table:
+        ids, comp, side = (table[c].to_numpy() for c in ("doc_id", "component", "side"))
+        coded = column(table, "z").dictionary_encode()
+        elements, bounds = _sets(coded.dictionary.to_pylist(), size)
+        text = coded.indices.to_numpy()
         n = np.diff(bounds)
-        row = np.repeat(np.arange(len(n)), n)
-        by = np.argsort(elements, kind="stable")
-        place = np.unique(elements[by], return_inverse=True)[1]
-        code = np.empty(len(elements), np.int64)
-        code[by] = place
-        out_a, out_b = [], []
-        for i in range(len(ids)):
-            others = (comp != comp[i]) & (ids > ids[i])
-            if (side >= 0).any():
-                others &= (side != side[i]) | (side < 0)
-            if not others.any():
-                continue
-            mine = np.zeros(int(place[-1]) + 1 if len(place) else 1, bool)
-            mine[code[bounds[i] : bounds[i + 1]]] = True
-            common = np.bincount(row, weights=mine[code], minlength=len(n)).astype(np.int64)
-            hit = others & (100 * common >= percent * (n[i] + n - common)) & (n > 0) & (n[i] > 0)
-            out_a.append(np.full(int(hit.sum()), ids[i]))
-            out_b.append(ids[hit])
-        a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-        b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return run
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        done = np.zeros((0, 2), np.int64)
+        for i, j in pairs_of(group, side):
+            a, b = np.minimum(text[i], text[j]), np.maximum(text[i], text[j])
+            lo, hi = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+            open_ = (comp[i] != comp[j]) & (100 * lo >= percent * hi) & (lo > 0)
+            i, j, a, b = i[open_], j[open_], a[open_], b[open_]
+            pair, first = np.unique(np.stack([a, b], axis=1), axis=0, return_index=True)
+            fresh = ~np.isin(pair[:, 0] * len(n) + pair[:, 1], done[:, 0] * len(n) + done[:, 1])
+            pair, first = pair[fresh], first[fresh]
+            done = np.concatenate([done, pair])
+            common = _common(elements, bounds, pair[:, 0], pair[:, 1])
+            hit = first[100 * common >= percent * (n[pair[:, 0]] + n[pair[:, 1]] - common)]
+            out_a.append(ids[i[hit]])
+            out_b.append(ids[j[hit]])
+        return pa.table([pa.array(np.concatenate(out_a), pa.int64()), pa.array(np.concatenate(out_b), pa.int64())], ["a", "b"])
+
+    return work
 
 
 def link(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
@@ -210,7 +207,7 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 32, row
     spread = rest.select("band", "doc_id", "component", tile.alias("tile"), F.explode(grid).alias("g"))
     side = F.when(F.col("g.x") == F.col("g.y"), F.lit(-1)).when(F.col("tile") == F.col("g.x"), F.lit(0)).otherwise(F.lit(1)).cast("long")
     placed = spread.select("band", "g.x", "g.y", "doc_id", "component", side.alias("side"))
-    more = placed.join(reps.select("doc_id", "z"), "doc_id").groupBy("band", "x", "y").applyInArrow(_tile_links(size, percent), "a long, b long")
+    more = by_runs(placed.join(reps.select("doc_id", "z"), "doc_id"), ["band", "x", "y"], _tile_links(size, percent), "a long, b long")
     # rows of one id are one document: the classes of its texts are linked through it
     several = full.groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("lo"), F.max(F.struct("s1", "s2")).alias("hi")).where("lo <> hi").select("doc_id")
     same = full.join(several, "doc_id").join(classes.select("s1", "s2", "n_shingles", "rep"), ["s1", "s2", "n_shingles"])
