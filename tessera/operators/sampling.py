@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -134,7 +135,7 @@ def deduplicated(candidates: DataFrame, level: str = "pair") -> DataFrame:
             out.append({**chosen.to_dict(), "duplicate": again})
         return pd.DataFrame(out)
 
-    schema = candidates.schema.add("duplicate", "boolean")
+    schema = T.StructType([*candidates.schema.fields, T.StructField("duplicate", T.BooleanType())])
     return candidates.groupBy("step").applyInPandas(fold, schema)
 
 

@@ -56,7 +56,8 @@ def png_header(content="content") -> dict:
 def scan(spark: SparkSession, root: str, split: str, spec: tuple[int, int, int], policy: ScanPolicy | None = None, hashed: bool = True) -> tuple[DataFrame, DataFrame]:
     """``(frames, findings)`` of a tree. Files are read by executors; each is judged by the first rule that it breaks.
 
-    A file reader sees files only, so empty directories give no finding.
+    A file reader sees files only, so empty directories give no finding, and it never lists names that begin with ``_``
+    or ``.``, so those are left out without one.
     """
     policy = policy or ScanPolicy()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
