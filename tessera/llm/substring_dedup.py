@@ -20,7 +20,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.scratch import Scratch
-from tessera.llm.words import hashes, mix, slices, split
+from tessera.llm.words import hashes, mix, powers, slices, split
 
 #: Period -> residues, perfect difference sets: every difference modulo the period is met.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (1, 5, 11, 24, 25, 27)}
@@ -43,21 +42,14 @@ def cover_for(length: int) -> tuple[int, tuple[int, ...]]:
     return (period, COVERS[period]) if period else (1, (0,))
 
 
-@lru_cache(maxsize=4)
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, _U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def window_hashes(h: np.ndarray, width: int, base: int) -> np.ndarray:
     """Polynomial hash, modulo 2^64, of every run of ``width`` word hashes."""
     n = len(h)
     if n < width:
         return np.zeros(0, _U)
     room = 1 << n.bit_length()
-    sums = np.concatenate([np.zeros(1, _U), np.cumsum(h * _powers(base, room)[:n])])
-    back = _powers(pow(base, -1, 1 << 64), room)[: n - width + 1]
+    sums = np.concatenate([np.zeros(1, _U), np.cumsum(h * powers(base, room)[:n])])
+    back = powers(pow(base, -1, 1 << 64), room)[: n - width + 1]
     return mix((sums[width:] - sums[:-width]) * back)
 
 

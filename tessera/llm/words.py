@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 
 
 def slices(batch: pa.RecordBatch, text: int, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
@@ -37,14 +37,46 @@ def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return bounds, words
 
 
-def hashes(words: pa.Array, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word, computed once for each distinct word."""
-    if not len(words):
-        return np.zeros(0, np.uint64)
-    coded = words.dictionary_encode()
-    digest = xxhash.xxh3_64_intdigest
-    table = np.fromiter((digest(w, seed) for w in coded.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(coded.dictionary))
-    return table[coded.indices.to_numpy()]
+_BASE = 0xC2B2AE3D27D4EB4F
+_MASK = (1 << 64) - 1
+
+
+@lru_cache(maxsize=4)
+def powers(base: int, n: int) -> np.ndarray:
+    """``base ** i`` modulo 2^64 for ``i < n``."""
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+@lru_cache(maxsize=16)
+def _bytes_table(seed: int) -> np.ndarray:
+    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((seed * 0xD6E8FEB86659FD93 + 1) & _MASK))
+
+
+def hashes(words: pa.Array, seed: int = 0, block: int = 1 << 19) -> np.ndarray:
+    """A 64-bit hash of each string: a polynomial of random values of its bytes, from running sums over all bytes."""
+    n = len(words)
+    out = np.zeros(n, np.uint64)
+    if not n:
+        return out
+    wide = pa.types.is_large_string(words.type) or pa.types.is_large_binary(words.type)
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int64 if wide else np.int32)[words.offset : words.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    table, salt = _bytes_table(seed), np.uint64((seed * 0xA0761D6478BD642F) & _MASK)
+    begin = 0
+    while begin < n:  # in blocks, so that the powers stay short
+        stop = max(begin + 1, int(np.searchsorted(ends, ends[begin] + block, side="right")) - 1)
+        at = ends[begin : stop + 1] - ends[begin]
+        size = int(at[-1])
+        room = max(block, 1 << max(0, size - 1).bit_length())
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(table[data[ends[begin] : ends[stop]]] * powers(_BASE, room)[:size], out=sums[1:])
+        back = powers(pow(_BASE, -1, 1 << 64), room)[np.minimum(at[:-1], room - 1)]
+        out[begin:stop] = mix((sums[at[1:]] - sums[at[:-1]]) * back + (at[1:] - at[:-1]).astype(np.uint64) + salt)
+        begin = stop
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
