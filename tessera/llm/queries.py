@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import embedding_dedup, language_id, line_dedup, near_dup, packing, quality_classifier, quality_rules, sentence_pieces, sharding, substring_dedup
+from tessera.llm import embedding_dedup, language_id, line_dedup, near_dup, oracles, packing, quality_classifier, quality_rules, sentence_pieces, sharding, substring_dedup
 from tessera.llm.scratch import Scratch, small_batches
 
 
@@ -98,4 +98,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dup": embedding_dedup.ORACLE_SQL, "op6_substring_dedup": substring_dedup.ORACLE_SQL, "op10_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op1_embedding_near_dup": embedding_dedup.ORACLE_SQL, "op3_minhash_near_dup": oracles.NEAR_DUP, "op6_substring_dedup": substring_dedup.ORACLE_SQL, "op10_quality_rules": quality_rules.ORACLE_SQL}
