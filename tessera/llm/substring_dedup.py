@@ -64,14 +64,18 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _packed(bucket: np.ndarray, columns: list[np.ndarray], ids: np.ndarray, keys: np.ndarray, row: np.ndarray, kind: int) -> Iterator[tuple]:
-    """Rows ``(bucket, kind, ids, keys, row index, columns...)``, one a bucket."""
-    order = np.argsort(bucket, kind="stable")
+    """Rows ``(bucket, kind, ids, keys, row index, columns...)``, one a bucket.
+
+    Places go in order of document and position, as steps from one to the next, which compress to little.
+    """
+    order = np.lexsort((columns[-1], row, bucket))
     ends = np.flatnonzero(np.append(bucket[order][1:] != bucket[order][:-1], True)) + 1 if len(order) else []
     begin = 0
     for end in ends:
         at = order[begin:end]
         rows, local = np.unique(row[at], return_inverse=True)
-        yield (int(bucket[at[0]]), kind, ids[rows].tobytes(), keys[rows].tobytes(), local.astype(np.uint32).tobytes(), *(c[at].tobytes() for c in columns))
+        steps = [np.diff(x, prepend=x.dtype.type(0)) for x in (local.astype(np.uint32), columns[-1][at])]
+        yield (int(bucket[at[0]]), kind, ids[rows].tobytes(), keys[rows].tobytes(), steps[0].tobytes(), *(c[at].tobytes() for c in columns[:-1]), steps[1].tobytes())
         begin = end
 
 
@@ -90,8 +94,8 @@ def _unpack(table: pa.Table, kind: int) -> tuple[np.ndarray, ...]:
     for r in table.select(["kind", "ids", "keys", "local", "h1", "h2", "pos"]).to_pylist():
         if r["kind"] != kind:
             continue
-        local = np.frombuffer(r["local"], np.uint32)
-        for out, values in zip(parts, (np.frombuffer(r["ids"], np.int64)[local], np.frombuffer(r["keys"], np.int64)[local], np.frombuffer(r["h1"], _U), np.frombuffer(r["h2"], _U), np.frombuffer(r["pos"], np.uint32))):
+        local, pos = (np.cumsum(np.frombuffer(r[c], np.uint32), dtype=np.uint32) for c in ("local", "pos"))
+        for out, values in zip(parts, (np.frombuffer(r["ids"], np.int64)[local], np.frombuffer(r["keys"], np.int64)[local], np.frombuffer(r["h1"], _U), np.frombuffer(r["h2"], _U), pos)):
             out.append(values)
     return tuple(np.concatenate(p) if p else np.zeros(0, t) for p, t in zip(parts, (np.int64, np.int64, _U, _U, np.uint32)))
 
@@ -140,7 +144,7 @@ def shared_anchors(keyed: DataFrame, length: int, buckets: int) -> DataFrame:
                 common = (doc[first] != doc[last])[group]  # two documents of this batch have it: settled here
                 sent = ~common | new
                 bucket = (hashed >> _U(40)).astype(np.int64) % buckets
-                flag = common.astype(_U)
+                flag = common.astype(_U)  # nearly all zero, which packs to nothing
                 yield _batch(list(_packed(bucket[sent], [hashed[sent], flag[sent], pos[sent]], ids, keys, row[sent], 0)))
                 own = common & ~new
                 if own.any():  # one row, to any bucket
