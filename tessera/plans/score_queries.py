@@ -149,7 +149,8 @@ def mining_collapse(spark, d):
 
 def stale_mining(spark, d):
     mined = mining.collapse(mining.hard_negatives(_pool(spark, d), 2, 0.5))
-    index = mined.select("stable_source_id", F.when(F.crc32("stable_source_id") % 2 == 0, F.col("source_version_id")).otherwise(F.lit("other")).alias("source_version_id")).where(F.crc32("stable_source_id") % 3 != 0)
+    digit = F.substring(F.sha2("stable_source_id", 256), 1, 1)
+    index = mined.where(digit < "c").select("stable_source_id", F.when(digit < "6", F.col("source_version_id")).otherwise(F.lit("other")).alias("source_version_id"))
     return mining.stale(mined, index).select("stable_source_id", "source_version_id", "current_version")
 
 
@@ -296,6 +297,19 @@ SELECT quantile, round(value, 9) AS value, round(ln(value / (1 - value)), 9) AS
     "hard_negative_topk": f"{_S}, {_POOL} SELECT * REPLACE (round(p_positive, 9) AS p_positive) FROM top",
     "hard_negative_cap": f"{_S}, {_POOL} SELECT p_positive, count(*) AS n FROM (SELECT round(p_positive, 9) AS p_positive FROM top ORDER BY p_positive DESC LIMIT 100) GROUP BY 1",
     "mining_collapse": f"{_S}, {_POOL}, {_MINED} SELECT stable_source_id, source_version_id, round(p_positive, 9) AS p_positive, 'mined' AS negative_subtype FROM mined",
+    "stale_mining": f"{_S}, {_POOL}, {_MINED}, g AS (SELECT stable_source_id, source_version_id, substr(sha256(stable_source_id), 1, 1) AS x FROM mined) SELECT stable_source_id, source_version_id, CASE WHEN x < 'c' THEN 'other' END AS current_version FROM g WHERE x >= '6'",
+    "early_stopping_fold": f"""{_E.replace('WITH ', 'WITH RECURSIVE ')}, {_HISTORY},
+n AS (SELECT game, step, global_recall AS v, row_number() OVER (PARTITION BY game ORDER BY step) AS i FROM hist),
+f(game, i, best, best_step, bad, stop) AS (
+  SELECT DISTINCT game, CAST(0 AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS BIGINT), 0, CAST(NULL AS BIGINT) FROM n
+  UNION ALL
+  SELECT f.game, n.i,
+    CASE WHEN stop IS NULL AND (best IS NULL OR v > best + CAST(0.002 AS DOUBLE)) THEN v ELSE best END,
+    CASE WHEN stop IS NULL AND (best IS NULL OR v > best + CAST(0.002 AS DOUBLE)) THEN n.step ELSE best_step END,
+    CASE WHEN stop IS NOT NULL THEN bad WHEN best IS NULL OR v > best + CAST(0.002 AS DOUBLE) THEN 0 WHEN n.step < 5 THEN bad ELSE bad + 1 END,
+    CASE WHEN stop IS NOT NULL THEN stop WHEN best IS NULL OR v > best + CAST(0.002 AS DOUBLE) THEN NULL WHEN n.step >= 5 AND bad + 1 >= 3 THEN n.step END
+  FROM f JOIN n ON n.game = f.game AND n.i = f.i + 1)
+SELECT game, round(best, 9) AS best_value, best_step, bad AS bad_count, stop AS stop_step FROM f WHERE i = (SELECT max(i) FROM n WHERE n.game = f.game)""",
     "gate_checks": f"{_S}, c AS (SELECT {_CNT} FROM d), v AS (SELECT unnest(['precision', 'recall', 'fpr', 'accuracy']) AS name, unnest([{_div('tp', 'tp + fp')}, {_div('tp', 'tp + fn')}, {_div('fp', 'fp + tn')}, {_div('tp + tn', 'tp + fp + fn + tn')}]) AS value FROM c), g(name, op, bound) AS (VALUES ('fpr', '<=', CAST(0.01 AS DOUBLE)), ('recall', '>=', 0.8), ('precision', '>', 0.2), ('accuracy', '<', 0.99), ('absent', '>=', 0.5)), r AS (SELECT name, op, bound, value, coalesce(CASE op WHEN '<=' THEN value <= bound WHEN '<' THEN value < bound WHEN '>=' THEN value >= bound ELSE value > bound END, FALSE) AS passed FROM g LEFT JOIN v USING (name)) SELECT *, CASE WHEN value IS NULL THEN 'metric absent' WHEN passed THEN 'ok' ELSE 'failed' END AS detail FROM r",
     "selection_ranking": f"{_E}, {_HISTORY}, {_RANKED} SELECT step, eligible, place FROM pl",
     "topk_registry": f"{_E}, {_HISTORY}, {_RANKED} SELECT step, eligible FROM pl WHERE place <= 5",
