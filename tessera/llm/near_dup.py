@@ -10,7 +10,8 @@ Equal sets are one class from the start, and a band's documents are first compar
 as many pairs as documents. Only documents of a band that are then still in different components are compared with each
 other, in tiles of bounded size that are handled by separate tasks and give confirmed links alone, never pairs.
 
-With 32 bands of 4 slots a pair at similarity 0.8 is missed as a candidate with probability 5e-8.
+With 32 bands of 4 slots a pair at similarity 0.8 is missed as a candidate with probability 5e-8, and its estimate from
+128 slots rules it out with about 1e-8.
 
 Defined results: texts without words, and null texts, are empty sets, linked with nothing; a text of fewer words than a
 shingle is one shingle; documents at exactly the threshold are linked; rows of equal id are one document, linked by any
@@ -35,7 +36,7 @@ from tessera.llm.words import hashes, mix, slices, split
 
 _U = np.uint64
 _STEP = 0x9E3779B97F4A7C15
-TILE = 128
+TILE = 1024
 
 
 def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,13 +98,14 @@ def _parts(batch: pa.RecordBatch, text: int, size: int) -> Iterator[tuple[pa.Rec
 
 
 def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, n_shingles, s1, s2, bands, z``: size and hash of the set, its band keys, the text compressed."""
+    """``doc_id, n_shingles, s1, s2, bands, sig, z``: size and hash of the set, its band keys, 16 bits a slot, the text compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for part, elements, bounds in _parts(batch, 1, size):
                 sig = superminhash(elements, bounds, bands * rows)
+                short = (mix(sig + _U(_STEP)) >> _U(48)).astype("<u2")
                 key = np.zeros((len(sig), bands), _U)
                 for k in range(rows):
                     key = mix(key * _U(5) + sig[:, k::rows])
@@ -113,9 +115,9 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 s1, s2 = ((s[1:] - s[:-1]).view(np.int64) for s in sums)
                 z = [None if t is None or not m else pack(t.encode("utf-8", "surrogatepass")) for t, m in zip(part.column(1).to_pylist(), n.tolist())]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1) * bands, pa.int32()), pa.array(key.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), pa.array(s1), pa.array(s2), lists, pa.array(z, pa.binary())], ["doc_id", "n_shingles", "s1", "s2", "bands", "z"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), pa.array(s1), pa.array(s2), lists, pa.array([x.tobytes() for x in short], pa.binary()), pa.array(z, pa.binary())], ["doc_id", "n_shingles", "s1", "s2", "bands", "sig", "z"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, z binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sig binary, z binary")
 
 
 def _sets(packed: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,30 +125,76 @@ def _sets(packed: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     return shingles(pa.array([unpack(z).decode("utf-8", "surrogatepass") for z in packed], pa.string()), size)
 
 
-def _common(elements: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of sets ``a[i]`` and ``b[i]``."""
-    return np.array([np.intersect1d(elements[bounds[i] : bounds[i + 1]], elements[bounds[j] : bounds[j + 1]], assume_unique=True).size for i, j in zip(a.tolist(), b.tolist())], np.int64)
+def _common(elements: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.ndarray, most: int = 2_000_000) -> np.ndarray:
+    """Sizes of the intersections of sets ``a[i]`` and ``b[i]``: one set is marked, then looked up by all its partners."""
+    out = np.zeros(len(a), np.int64)
+    if not len(a):
+        return out
+    if len(np.unique(a)) > len(np.unique(b)):
+        a, b = b, a
+    code = np.unique(elements, return_inverse=True)[1]
+    mark = np.zeros(len(elements) + 1, bool)
+    n = np.diff(bounds)
+    order = np.argsort(a, kind="stable")
+    for run in np.split(order, np.flatnonzero(np.diff(a[order])) + 1):
+        own = code[bounds[a[run[0]]] : bounds[a[run[0]] + 1]]
+        mark[own] = True
+        for part in np.split(run, np.flatnonzero(np.diff(np.cumsum(n[b[run]]) // most)) + 1):
+            sizes = n[b[part]]
+            first = np.cumsum(sizes) - sizes
+            at = np.repeat(bounds[b[part]] - first, sizes) + np.arange(int(sizes.sum()))
+            seen = np.concatenate([[0], np.cumsum(mark[code[at]])])
+            out[part] = seen[first + sizes] - seen[first]
+        mark[own] = False
+    return out
+
+
+def _likely(sig: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs whose signatures do not rule out the threshold: six standard deviations of an estimate at it are allowed."""
+    slots = sig.shape[1]
+    least = percent / 100 - 6.2 * (percent / 100 * (1 - percent / 100) / slots) ** 0.5
+    out = np.ones(len(a), bool)
+    for at in range(0, len(a), 20_000):
+        part = slice(at, at + 20_000)
+        out[part] = (sig[a[part]] == sig[b[part]]).mean(axis=1) >= least
+    return out
+
+
+def _linked(z: pa.Array, a: np.ndarray, b: np.ndarray, size: int, percent: int) -> np.ndarray:
+    """Which pairs of places in ``z`` meet the threshold on the full sets; only their texts are unpacked."""
+    coded = z.dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    a, b = code[a], code[b]
+    used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    elements, bounds = _sets(coded.dictionary.take(pa.array(used)).to_pylist(), size)
+    a, b = place[: len(a)], place[len(a) :]
+    n = np.diff(bounds)
+    common = _common(elements, bounds, a, b)
+    return (n[a] > 0) & (n[b] > 0) & (100 * common >= percent * (n[a] + n[b] - common))
+
 
+def _signatures(packed: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(packed.to_pylist()), "<u2").reshape(len(packed), -1)
 
-def verify(pairs: DataFrame, sketch: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (``a, b``) whose full sets meet the threshold."""
-    text = sketch.select("doc_id", "z")
-    joined = pairs.join(text.select(F.col("doc_id").alias("a"), F.col("z").alias("za")), "a").join(text.select(F.col("doc_id").alias("b"), F.col("z").alias("zb")), "b")
+
+def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (``a, b``) whose full sets meet the threshold. ``texts``: ``doc_id, sig, z``."""
+    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("sig").alias(f"s{x}"), F.col("z").alias(f"z{x}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                coded = pa.concat_arrays([part.column(2), part.column(3)]).dictionary_encode()
-                elements, bounds = _sets(coded.dictionary.to_pylist(), size)
-                index = coded.indices.to_numpy()
-                a, b = index[: part.num_rows], index[part.num_rows :]
-                n = np.diff(bounds)
-                common = _common(elements, bounds, a, b)
-                ok = pa.array((n[a] > 0) & (n[b] > 0) & (100 * common >= percent * (n[a] + n[b] - common)))
+            n = batch.num_rows
+            i, j = np.arange(n), np.arange(n) + n
+            keep = _likely(_signatures(pa.concat_arrays([batch.column(2), batch.column(3)])), i, j, percent)
+            for at in range(0, int(keep.sum()), 256):
+                rows = np.flatnonzero(keep)[at : at + 256]
+                part = batch.take(pa.array(rows))
+                m = len(rows)
+                ok = pa.array(_linked(pa.concat_arrays([part.column(4), part.column(5)]), np.arange(m), np.arange(m) + m, size, percent))
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(ok), part.column(1).filter(ok)], ["a", "b"])
 
-    return joined.select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "sa", "sb", "za", "zb").mapInArrow(run, "a long, b long")
 
 
 def _tile_links(size: int, percent: int):
@@ -154,25 +202,25 @@ def _tile_links(size: int, percent: int):
 
     def work(table: pa.Table, group: np.ndarray) -> pa.Table:
         ids, comp, side = (table[c].to_numpy() for c in ("doc_id", "component", "side"))
-        coded = column(table, "z").dictionary_encode()
-        elements, bounds = _sets(coded.dictionary.to_pylist(), size)
-        text = coded.indices.to_numpy()
-        n = np.diff(bounds)
+        z = column(table, "z")
+        sig = _signatures(column(table, "sig"))
+        text = z.dictionary_encode().indices.to_numpy()
         out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        done = np.zeros((0, 2), np.int64)
+        done = np.zeros(0, np.int64)
         for i, j in pairs_of(group, side):
-            a, b = np.minimum(text[i], text[j]), np.maximum(text[i], text[j])
-            lo, hi = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-            open_ = (comp[i] != comp[j]) & (100 * lo >= percent * hi) & (lo > 0)
-            i, j, a, b = i[open_], j[open_], a[open_], b[open_]
-            pair, first = np.unique(np.stack([a, b], axis=1), axis=0, return_index=True)
-            fresh = ~np.isin(pair[:, 0] * len(n) + pair[:, 1], done[:, 0] * len(n) + done[:, 1])
-            pair, first = pair[fresh], first[fresh]
+            open_ = comp[i] != comp[j]
+            i, j = i[open_], j[open_]
+            likely = _likely(sig, i, j, percent)
+            i, j = i[likely], j[likely]
+            pair = np.minimum(text[i], text[j]).astype(np.int64) * len(ids) + np.maximum(text[i], text[j])
+            pair, first = np.unique(pair, return_index=True)
+            first = first[~np.isin(pair, done)]
             done = np.concatenate([done, pair])
-            common = _common(elements, bounds, pair[:, 0], pair[:, 1])
-            hit = first[100 * common >= percent * (n[pair[:, 0]] + n[pair[:, 1]] - common)]
-            out_a.append(ids[i[hit]])
-            out_b.append(ids[j[hit]])
+            for at in range(0, len(first), 4096):
+                x, y = i[first[at : at + 4096]], j[first[at : at + 4096]]
+                hit = _linked(z, x, y, size, percent)
+                out_a.append(ids[x[hit]])
+                out_b.append(ids[y[hit]])
         return pa.table([pa.array(np.concatenate(out_a), pa.int64()), pa.array(np.concatenate(out_b), pa.int64())], ["a", "b"])
 
     return work
@@ -187,27 +235,40 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 32, row
     full = rowset.where("n_shingles > 0 and doc_id is not null")
     classes = scratch.table(full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
 
-    reps = scratch.table(sketch.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2", "n_shingles"), ["doc_id", "s1", "s2", "n_shingles"]).dropDuplicates(["doc_id", "s1", "s2"]), "reps")
-    banded = reps.select("doc_id", F.explode("bands").alias("band"))
+    # a repeated row of a class's first document comes along; it adds nothing but itself
+    first = classes.select(F.col("rep").alias("doc_id"), "s1", "s2", "n_shingles")
+    banded = sketch.select("doc_id", "s1", "s2", "n_shingles", "bands").join(first, ["doc_id", "s1", "s2", "n_shingles"]).select("doc_id", "s1", "s2", F.explode("bands").alias("band"))
+    banded = scratch.table(banded, "banded")
     shared = banded.groupBy("band").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = scratch.table(banded.join(shared, "band"), "members")
+    scratch.drop("banded")
+    # texts are fetched once, for documents that have a candidate
+    wanted = members.select("doc_id", "s1", "s2").distinct()
+    reps = scratch.table(sketch.select("doc_id", "s1", "s2", "sig", "z").join(wanted.hint("merge"), ["doc_id", "s1", "s2"]).select("doc_id", "sig", "z"), "texts")
+    members = members.select("band", "doc_id", "least", "n")
     stars = members.where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = scratch.table(verify(stars, reps, size, percent), "links")
     near = components(links, scratch, "first")
 
-    # documents of a band that are in different components by now
+    # Bands whose documents are in different components by now. Most are in the band's largest one, and are not
+    # compared with each other: the others are, with each other and with all of the largest, in tiles.
     labelled = members.join(near, members["doc_id"] == near["node"], "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-    tiles = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(TILE))).cast("int")
-    rest = labelled.join(mixed.select("band", "n", tiles.alias("tiles")), "band")
-    tile = F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")
-    grid = F.when(F.col("tiles") == 1, F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, tile).alias("x"), F.greatest(t, tile).alias("y")))
-    )
-    spread = rest.select("band", "doc_id", "component", tile.alias("tile"), F.explode(grid).alias("g"))
-    side = F.when(F.col("g.x") == F.col("g.y"), F.lit(-1)).when(F.col("tile") == F.col("g.x"), F.lit(0)).otherwise(F.lit(1)).cast("long")
-    placed = spread.select("band", "g.x", "g.y", "doc_id", "component", side.alias("side"))
-    more = by_runs(placed.join(reps.select("doc_id", "z"), "doc_id"), ["band", "x", "y"], _tile_links(size, percent), "a long, b long")
+    sizes = labelled.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c"))
+    biggest = F.max(F.struct("c", "component"))
+    mixed = sizes.groupBy("band").agg(biggest.alias("big"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    tiles = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(TILE))).cast("int")
+    mixed = mixed.select("band", F.col("big.component").alias("big"), tiles(F.col("big.c")).alias("tb"), tiles(F.col("n") - F.col("big.c")).alias("ts"))
+    rest = labelled.join(mixed, "band")
+    home = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    cell = lambda x, y, side: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), side.cast("long").alias("side"))
+    tb, ts = home(F.col("tb")), home(F.col("ts"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    of_big = F.transform(every("ts"), lambda y: cell(tb, y, F.lit(0)))
+    beside = F.transform(every("tb"), lambda x: cell(x, ts, F.lit(1)))
+    among = F.transform(every("ts"), lambda t: cell(-1 - F.least(t, ts), F.greatest(t, ts), F.when(t == ts, -1).when(t > ts, 0).otherwise(1)))
+    cells = F.when(F.col("component") == F.col("big"), of_big).otherwise(F.concat(beside, among))
+    placed = rest.select("band", "doc_id", "component", F.explode(cells).alias("g")).select("band", "g.x", "g.y", "doc_id", "component", "g.side")
+    more = by_runs(placed.join(reps, "doc_id"), ["band", "x", "y"], _tile_links(size, percent), "a long, b long")
     # rows of one id are one document: the classes of its texts are linked through it
     several = full.groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("lo"), F.max(F.struct("s1", "s2")).alias("hi")).where("lo <> hi").select("doc_id")
     same = full.join(several, "doc_id").join(classes.select("s1", "s2", "n_shingles", "rep"), ["s1", "s2", "n_shingles"])
