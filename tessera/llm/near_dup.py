@@ -204,24 +204,34 @@ def _tile_links(size: int, percent: int):
         ids, comp, side = (table[c].to_numpy() for c in ("doc_id", "component", "side"))
         z = column(table, "z")
         sig = _signatures(column(table, "sig"))
-        text = z.dictionary_encode().indices.to_numpy()
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        done = np.zeros(0, np.int64)
+        text = z.dictionary_encode().indices.to_numpy().astype(np.int64)
+        place = np.zeros(int(text.max()) + 1, np.int64)
+        place[text] = np.arange(len(text))  # a row for each text
+        found, held, n = [], [np.zeros(0, np.int64)], 0
+
+        def settle() -> None:
+            """Confirms the pairs that have come together, all partners of a text at once."""
+            pair = np.unique(np.concatenate(held))
+            held.clear()
+            for at in range(0, len(pair), 400_000):
+                x, y = place[pair[at : at + 400_000] // len(place)], place[pair[at : at + 400_000] % len(place)]
+                hit = _linked(z, x, y, size, percent)
+                found.append((ids[x[hit]], ids[y[hit]]))
+
         for i, j in pairs_of(group, side):
             open_ = comp[i] != comp[j]
             i, j = i[open_], j[open_]
             likely = _likely(sig, i, j, percent)
-            i, j = i[likely], j[likely]
-            pair = np.minimum(text[i], text[j]).astype(np.int64) * len(ids) + np.maximum(text[i], text[j])
-            pair, first = np.unique(pair, return_index=True)
-            first = first[~np.isin(pair, done)]
-            done = np.concatenate([done, pair])
-            for at in range(0, len(first), 4096):
-                x, y = i[first[at : at + 4096]], j[first[at : at + 4096]]
-                hit = _linked(z, x, y, size, percent)
-                out_a.append(ids[x[hit]])
-                out_b.append(ids[y[hit]])
-        return pa.table([pa.array(np.concatenate(out_a), pa.int64()), pa.array(np.concatenate(out_b), pa.int64())], ["a", "b"])
+            i, j = text[i[likely]], text[j[likely]]
+            held.append(np.minimum(i, j) * len(place) + np.maximum(i, j))
+            n += len(i)
+            if n > 2_000_000:
+                settle()
+                n = 0
+        if held:
+            settle()
+        a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return work
 
