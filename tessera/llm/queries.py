@@ -23,7 +23,7 @@ def op1_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    kept = line_dedup.remove(docs, k=None, counted=True)
+    kept = line_dedup.remove(docs, k=None, min_words=0, counted=True)
     return kept.select("doc_id", "n_removed", F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
