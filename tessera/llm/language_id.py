@@ -5,8 +5,8 @@ longest matches; by Ziv and Merhav, ``phrases * log2(reference length) / text le
 the language with the least wins. Texts are parsed whole, in blocks of ``BLOCK`` symbols: all blocks of a batch advance
 through all automata one symbol at a time, as arrays.
 
-The reference text is a bounded sample: at most ``docs_per_lang`` labelled documents a language, and of each at most
-``excerpt`` characters; at most ``max_langs`` languages, the most frequent first.
+The reference text is a bounded sample of rows: at most ``docs_per_lang`` labelled documents a language, whole, of every
+language. Memory follows their length. States with one way on, most of them, are kept as one symbol and one state.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter, or where nothing could be learned;
 letters never seen in training are phrases of their own; ties go to the language first in order of name; repeated rows
@@ -50,24 +50,22 @@ def normalise(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
-def fit(docs: DataFrame, docs_per_lang: int = 80, excerpt: int = 800, max_langs: int = 256) -> Model:
+def fit(docs: DataFrame, docs_per_lang: int = 80) -> Model:
     """A model from the non-null ``text`` and ``lang`` of ``docs``.
 
     The sample is what has the smallest hashes of the id: the share of rows to look at follows from counts, so only
     about twice the sample comes to the driver.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
-    if not counts:
-        return Model((), ())
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, (2 * docs_per_lang + 20) / r["n"]))).otherwise(share)
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select("lang", F.least(F.lit(1.0), (2 * docs_per_lang + 20) / F.col("n")).alias("share"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    rows = usable.where(place < share).select("lang", "doc_id", place.alias("place"), F.substring("text", 1, excerpt).alias("text")).collect()
+    rows = usable.join(F.broadcast(counts), "lang").where(place < F.col("share")).select("lang", "doc_id", place.alias("place"), "text").collect()
+    by_lang: dict[str, list] = {}
+    for r in rows:
+        by_lang.setdefault(r["lang"], []).append((r["place"], str(r["doc_id"]), r["text"]))
     langs, texts = [], []
-    for lang in sorted(r["lang"] for r in counts):
-        own = sorted((r["place"], str(r["doc_id"]), r["text"]) for r in rows if r["lang"] == lang)[:docs_per_lang]
+    for lang in sorted(by_lang):
+        own = sorted(by_lang[lang])[:docs_per_lang]
         text = "  ".join(dict.fromkeys(filter(None, (normalise(t) for _, _, t in own))))
         if text:
             langs.append(lang)
@@ -116,19 +114,29 @@ class Parser:
         self.code[[c for c in range(0x110000) if chr(c).isalpha()]] = self.width - 1
         for k, c in enumerate(letters):
             self.code[ord(c)] = k + 1
-        tables, roots, base = [], [], 0
+        # symbol and next state of states with one way on; a row of the table for the root and for states with more
+        symbol, following, row_of, tables, roots, base, n_rows = [], [], [], [np.full((1, self.width), -1, np.int32)], [], 0, 1
         for text in model.texts:
             moves = suffix_automaton(self.code[np.frombuffer(text.encode("utf-32-le"), np.uint32)].tolist())
-            table = np.full((len(moves), self.width), -1, np.int32)
-            for state, out in enumerate(moves):
-                for s, to in out.items():
-                    table[state, s] = base + to
-            roots.append(base)
-            base += len(moves)
+            wide = [state for state, out in enumerate(moves) if state == 0 or len(out) > 1]
+            table = np.full((len(wide), self.width), -1, np.int32)
+            for k, state in enumerate(wide):
+                for s, to in moves[state].items():
+                    table[k, s] = base + to
+            place = np.zeros(len(moves), np.int32)
+            place[wide] = n_rows + np.arange(len(wide))
+            one = [next(iter(out.items())) if len(out) == 1 and state else (-1, -1 - base) for state, out in enumerate(moves)]
+            symbol.append(np.array([s for s, _ in one], np.int32))
+            following.append(np.array([to + base for _, to in one], np.int32))
+            row_of.append(place)
             tables.append(table)
+            roots.append(base)
+            base, n_rows = base + len(moves), n_rows + len(wide)
+            del moves, one
+        self.symbol, self.following, self.row_of = (np.concatenate(x) for x in (symbol, following, row_of))
         self.table = np.concatenate(tables).ravel()
         self.roots = np.array(roots, np.int32)[:, None]
-        first = self.table.reshape(-1, self.width)[self.roots[:, 0]]
+        first = self.table.reshape(-1, self.width)[self.row_of[self.roots[:, 0]]]
         self.restart = np.where(first < 0, self.roots, first)  # an unseen symbol is a phrase by itself: back to the root
         self.alone = (first < 0).astype(np.int32)
         self.bits = np.log2(np.array([[max(2, len(t))] for t in model.texts], float))
@@ -160,7 +168,8 @@ class Parser:
         for t in range(int(length[0]) if len(length) else 0):
             running = int(np.searchsorted(-length, -t, side="left"))  # those longer than t come first
             c = codes[start[:running] + t]
-            to = self.table[state[:, :running] * np.int64(self.width) + c]
+            now = state[:, :running]
+            to = np.where(self.symbol[now] == c, self.following[now], self.table[self.row_of[now] * np.int64(self.width) + c])
             miss = to < 0
             open_ = state[:, :running] != self.roots
             count[:, :running] += (miss & open_) + np.where(miss, self.alone[:, c], 0)

@@ -57,3 +57,12 @@ def test_nothing_to_learn_from_and_empty(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert [r["lang_pred"] for r in li.identify(docs, li.fit(docs)).collect()] == ["und"]
     assert li.identify(docs.limit(0), li.Model((), ())).count() == 0
+
+
+def test_learns_behind_a_shared_header_and_every_language(spark):
+    header = "this licence text opens every document " * 25
+    own = {"aa": "ta ke lo ", "bb": "sch ung ei ", "cc": "nh que ao "}
+    rows = [(i, header + own[lang] * 40, lang) for i, lang in enumerate(["aa", "bb", "cc"] * 4)]
+    rows += [(100 + i, f"{chr(0x4E00 + i) * 3}", f"l{i}") for i in range(300)]
+    model = li.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 303 and li.Parser(li.Model(model.langs[:3], model.texts[:3])).predict(list(own.values()))[0] == list(own)
