@@ -9,9 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.memory import lean
 from tessera.llm.scratch import Scratch
 
 _EDGES = "a long, b long"
+#: Links that a task joins up at once.
+AT_ONCE = 1_000_000
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +50,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_a.append(batch.column(0).to_numpy())
         held_b.append(batch.column(1).to_numpy())
         n += batch.num_rows
-        if n > 1_000_000:
+        if n > AT_ONCE:
             a, b = star()
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
             held_a, held_b, n = [], [], 0
@@ -56,32 +59,43 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
+def _with_least(links: DataFrame, salts: int = 64) -> DataFrame:
+    """Links with ``m``, the least ``b`` of each ``a``. A node's links are spread over ``salts`` parts, so a hub is no one task's."""
+    salted = links.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(salts)))
+    parts = salted.groupBy("a", "s").agg(F.min("b").alias("m"))
+    least = parts.groupBy("a").agg(F.min("m").alias("m"))
+    return salted.join(parts.select("a", "s").join(least, "a"), ["a", "s"]).select("a", "b", "m")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return _with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    down = _with_least(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    moved = down.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+    return moved.distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
     """``node, component`` (least node reachable) for every node of ``edges`` (columns ``a``, ``b``) with a link.
 
-    Each round is written, so no lineage grows; aggregates combine map-side and joins may be split when skewed, so a
-    node with very many links is no task's burden. Rounds grow with the logarithm of the longest path.
+    Tasks first join up the links they hold. What is left is joined up by one task if it is at most ``AT_ONCE`` links,
+    and otherwise in rounds of stars between tasks; both give the same. Each round is written, so no lineage grows, and
+    the links of a node with very many are dealt to many tasks. Rounds grow with the logarithm of the longest path.
     """
     links = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
-    now = scratch.table(links.mapInArrow(_contract, _EDGES), f"{name}-0")
+    now = scratch.table(links.mapInArrow(lean(_contract), _EDGES), f"{name}-0")
     mark, step = None, 0
     while True:
         found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % F.lit(1 << 40))).first()
         if found == mark or not found[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        if found[0] <= AT_ONCE:
+            done = scratch.table(now.coalesce(1).mapInArrow(lean(_contract), _EDGES), f"{name}-last")
+            scratch.drop(f"{name}-{step}")
+            return done.select(F.col("a").alias("node"), F.col("b").alias("component"))
         mark = found
         large = scratch.table(_large_star(now), f"{name}-{step}-large")
         scratch.drop(f"{name}-{step}")
