@@ -25,11 +25,11 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def table(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    def table(self, df: DataFrame, name: str, codec: str = "zstd", dictionary: bool = True) -> DataFrame:
         """Write ``df`` and return the written table; shuffle files that nothing needs any more are let go."""
         path = f"{self.root}/{name}"
         schema = df.schema
-        df.write.mode("overwrite").option("compression", codec).parquet(path)
+        df.write.mode("overwrite").option("compression", codec).option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
         del df
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
