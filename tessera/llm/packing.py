@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.memory import lean
 from tessera.llm.numbering import bins_for, number
 from tessera.llm.scratch import Scratch
 
@@ -51,10 +52,10 @@ class Encoder:
     """
 
     _ODD = re.compile("[\x00\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-    _MARK = re.compile(r"[\W_][,.][ \n]|^[,.][ \n]")
+    _MARK = re.compile(r"[,.][ \n](?<=[\W_]..)", re.DOTALL)
     _CUT = re.compile(r"(?<=\S)(?=[ \n])")  # \S is narrower in Python than in the tokenizer, so a cut is always right
 
-    def __init__(self, path: str, cache_chunks: int = 1_000_000):
+    def __init__(self, path: str, cache_chunks: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -71,8 +72,8 @@ class Encoder:
     def chunks(self, text: str) -> list[str]:
         if not self.byte_level or any(t in text for t in self.special):
             return [text]
-        if self._ODD.search(text) is None:
-            if self._MARK.search(text) is None:  # a mark after a letter or digit and before a space is a token by itself
+        if text.replace("\n", " ").isprintable() or self._ODD.search(text) is None:  # printable texts have no odd space
+            if self._MARK.search(text) is None and (text[:1] not in ",." or text[1:2] not in " \n"):  # a mark after a letter or digit and before a space is a token by itself
                 text = text.replace(", ", "\0,\0 ").replace(". ", "\0.\0 ").replace(".\n", "\0.\0\n").replace(" ", "\0 ").replace("\n", "\0\n").replace("\0\0", "\0")
                 cut = text.split("\0")
             else:
@@ -102,9 +103,10 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         cut = [self.chunks(t) if t else [] for t in texts]
-        if len(self.cache) > self.cache_chunks:
-            self.cache.clear()
-        fresh = list(set().union(*cut).difference(self.cache)) if cut else []
+        used = set().union(*cut)
+        if len(self.cache) > self.cache_chunks:  # what these texts have stays: mostly what all texts have
+            self.cache = {c: self.cache[c] for c in used if c in self.cache}
+        fresh = list(used.difference(self.cache))
         if fresh:
             self._learn(fresh)
         get = self.cache.__getitem__
@@ -128,8 +130,9 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2, w
     ``chars`` characters at a time.
     """
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode, last = encoder(tokenizer).encode, end_id.to_bytes(4, "little")
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             at = 0
@@ -140,11 +143,12 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2, w
                     end += 1
                 out: list[list] = [[], [], [], [], [], []]
                 for doc, raw in zip(ids[at:end], encode(texts[at:end])):
-                    tokens = np.append(np.frombuffer(raw, "<u4"), np.array([end_id], "<u4"))
-                    first = len(tokens) % size or size
-                    starts = [0, *range(first, len(tokens), size)]
-                    for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(tokens)])):
-                        row = (doc, k, a, b - a, zlib.crc32(tokens[a:b].tobytes()), tokens[a:b].tolist() if with_ids else None)
+                    raw += last
+                    n = len(raw) // 4
+                    starts = [0, *range(n % size or size, n, size)]
+                    for k, (a, b) in enumerate(zip(starts, [*starts[1:], n])):
+                        own = raw[4 * a : 4 * b] if len(starts) > 1 else raw
+                        row = (doc, k, a, b - a, zlib.crc32(own), np.frombuffer(own, "<u4").tolist() if with_ids else None)
                         for column, value in zip(out, row):
                             column.append(value)
                 at = end
@@ -155,6 +159,11 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2, w
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES + ", ids array<long>" * with_ids)
 
 
+def every_capacity(tokens: int, rule: str = "norm") -> Capacity:
+    """A capacity whose three parts all choose and of which only the tokens can ever bind: no sequence holds more documents than tokens."""
+    return Capacity(tokens, documents=tokens, attention=tokens * tokens, rule=rule)
+
+
 def patterns(counts: dict[int, int], capacity: Capacity) -> list[tuple[int, list[tuple[int, int]]]]:
     """Packs a histogram: ``(times, [(length, copies), ...])``, each pattern holding under every capacity."""
     top = capacity.tokens

@@ -35,7 +35,7 @@ def op3_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), packing.Capacity(1024))
+    return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), packing.every_capacity(1024))
 
 
 def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ def check(rows, got, capacity):
 
 def test_whole_documents_round_trip(spark):
     rows = [(i, t, "clash") for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], "again")]
-    capacity = packing.Capacity(1024)
+    capacity = packing.every_capacity(1024)
     df = rows_of(spark, rows, capacity)
     got = df.collect()
     bins = check([r[:2] for r in rows], got, capacity)
@@ -72,7 +72,7 @@ def test_patterns_near_the_bound():
     rng = random.Random(3)
     for _ in range(20):
         counts = Counter(min(1024, int(rng.expovariate(1 / 400)) + 1) for _ in range(5000))
-        plan = packing.patterns(dict(counts), packing.Capacity())
+        plan = packing.patterns(dict(counts), packing.every_capacity(1024))
         used = Counter()
         for times, items in plan:
             assert sum(n * k for n, k in items) <= 1024
@@ -83,6 +83,50 @@ def test_patterns_near_the_bound():
         assert sum(t for t, _ in plan) <= bound * 1.005 + 1
 
 
+def fewest(lengths, top):
+    """Fewest sequences by trying every place for every piece."""
+    best = len(lengths)
+
+    def place(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(lengths):
+            best = len(bins)
+            return
+        for b in {n: k for k, n in enumerate(bins)}.values():
+            if bins[b] + lengths[i] <= top:
+                bins[b] += lengths[i]
+                place(i + 1, bins)
+                bins[b] -= lengths[i]
+        place(i + 1, [*bins, lengths[i]])
+
+    lengths = sorted(lengths, reverse=True)
+    place(0, [])
+    return best
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_every_part_chooses_and_few_sequences_do(rule):
+    """The capacity of the query: all three parts are in force, and small sets are packed as exhaustive search packs them, or one more."""
+    capacity = packing.every_capacity(24, rule)
+    assert None not in (capacity.documents, capacity.attention) and all(capacity.weights)
+    rng, more = random.Random(5), 0
+    for _ in range(150):
+        lengths = [rng.randint(1, 24) for _ in range(rng.randint(1, 9))]
+        plan = packing.patterns(dict(Counter(lengths)), capacity)
+        found = sum(times for times, _ in plan)
+        assert found - fewest(lengths, 24) in (0, 1)
+        more += found - fewest(lengths, 24)
+    assert more <= 3
+
+
+@pytest.mark.parametrize("weights", [(1.0, 0.1, 0.1), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)])
+def test_every_capacity_holds_whatever_the_weights(weights):
+    plan = packing.patterns({20: 1, 8: 2, 12: 1, 3: 4}, packing.Capacity(32, documents=3, attention=620, weights=weights))
+    assert all(sum(n * k for n, k in items) <= 32 and sum(n * n * k for n, k in items) <= 620 and sum(k for _, k in items) <= 3 for _, items in plan)
+
+
 def test_a_piece_over_the_attention_capacity_is_refused():
     with pytest.raises(ValueError):
         packing.patterns({10: 1}, packing.Capacity(64, attention=50))
