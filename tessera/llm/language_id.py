@@ -2,8 +2,10 @@
 
 A suffix automaton of some labelled text per language recognises every substring of it. A text is parsed greedily into
 longest matches; by Ziv and Merhav, ``phrases * log2(reference length) / text length`` estimates the cross entropy, and
-the language with the least wins. Texts are parsed whole, in blocks of ``BLOCK`` symbols: all blocks of a batch advance
-through all automata one symbol at a time, as arrays.
+the language with the least wins. Texts are parsed whole. All blocks of ``BLOCK`` symbols of a batch advance through all
+automata one symbol at a time, as arrays, each as if a phrase began with it; then, block after block, the open phrase of
+the block before is carried on until it meets the state that the block's own parse was in, from where both are one. The
+phrases are those of one parse from the first symbol to the last, whatever the block size.
 
 The reference text is a bounded sample of rows: at most ``docs_per_lang`` labelled documents a language, whole, of every
 language. Memory follows their length. States with one way on, most of them, are kept as one symbol and one state.
@@ -24,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.memory import lean
 from tessera.llm.words import slices
 
 BLOCK = 1024
@@ -41,8 +44,8 @@ class Model:
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
-    """Rows never learned from: crc32 of the id as text, modulo 4, is 2."""
-    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2
+    """Rows never learned from: crc32 of the id as text, modulo 4, is 2; and rows without an id."""
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(True))
 
 
 def normalise(text: str) -> str:
@@ -103,6 +106,11 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return moves
 
 
+def parse_room(n_langs: int) -> int:
+    """Symbols that are parsed at once, so that what is kept of a parse has a bound."""
+    return max(BLOCK, min(1_000_000, 4_000_000 // max(1, n_langs)))
+
+
 class Parser:
     """All automata of a model in one table: next state by (state, symbol), -1 for none."""
 
@@ -152,32 +160,71 @@ class Parser:
         keep = (codes != 0) | (before != 0)
         return codes[keep], np.concatenate([[0], np.cumsum(keep)])[bounds], np.diff(letters)
 
+    def _advance(self, lang: np.ndarray, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(next state, phrases closed)`` of parses of a language each."""
+        to = np.where(self.symbol[state] == c, self.following[state], self.table[self.row_of[state] * np.int64(self.width) + c])
+        miss = to < 0
+        closed = (miss & (state != self.roots[lang, 0])) + np.where(miss, self.alone[lang, c], 0)
+        return np.where(miss, self.restart[lang, c], to), closed
+
     def phrases(self, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Phrases by (language, text)."""
-        sizes = np.diff(bounds)
+        """Phrases by (language, text). Long texts go on in parts, each from the states that the one before ended in."""
+        room = parse_room(len(self.langs))
+        out, last = np.zeros((len(self.langs), len(bounds) - 1)), np.repeat(self.roots, len(bounds) - 1, axis=1)
+        begin, left = bounds[:-1], np.diff(bounds)
+        while (texts := np.flatnonzero(left > 0)).size:
+            size = np.minimum(left[texts], room)
+            closed, last[:, texts] = self._closed(codes, begin[texts], size, last[:, texts])
+            out[:, texts] += closed
+            begin, left = begin.copy(), left.copy()
+            begin[texts] += size
+            left[texts] -= size
+        return out + (last != self.roots)
+
+    def _closed(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(phrases closed, last state)`` by (language, part); ``last`` has the states before."""
+        langs, last = len(self.langs), last.copy()
         blocks = -(-sizes // BLOCK)
-        text = np.repeat(np.arange(len(sizes)), blocks)
-        k = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        start = bounds[:-1][text] + k * BLOCK
-        length = np.minimum(BLOCK, bounds[1:][text] - start)
-        order = np.argsort(-length, kind="stable")
-        text, start, length = text[order], start[order], length[order]
-        state = np.repeat(self.roots, len(text), axis=1)
+        first = np.cumsum(blocks) - blocks
+        part = np.repeat(np.arange(len(sizes)), blocks)
+        k = np.arange(len(part)) - first[part]
+        begin = starts[part] + k * BLOCK
+        size = np.minimum(BLOCK, sizes[part] - k * BLOCK)
+        place = np.cumsum(size) - size  # where a block's states are kept
+        order = np.argsort(-size, kind="stable")
+        start, length, kept = begin[order], size[order], place[order]
+        state = np.repeat(self.roots, len(part), axis=1)
         count = np.zeros(state.shape, np.int32)
-        running = len(text)
-        for t in range(int(length[0]) if len(length) else 0):
+        states, counts = (np.zeros((langs, int(size.sum())), t) for t in (np.int32, np.uint16))
+        lang = np.arange(langs)[:, None]
+        for t in range(int(length[0])):
             running = int(np.searchsorted(-length, -t, side="left"))  # those longer than t come first
-            c = codes[start[:running] + t]
-            now = state[:, :running]
-            to = np.where(self.symbol[now] == c, self.following[now], self.table[self.row_of[now] * np.int64(self.width) + c])
-            miss = to < 0
-            open_ = state[:, :running] != self.roots
-            count[:, :running] += (miss & open_) + np.where(miss, self.alone[:, c], 0)
-            state[:, :running] = np.where(miss, self.restart[:, c], to)
-        count += state != self.roots
-        out = np.zeros((len(self.langs), len(sizes)))
-        np.add.at(out, (slice(None), text), count)
-        return out
+            state[:, :running], closed = self._advance(lang, state[:, :running], codes[start[:running] + t])
+            count[:, :running] += closed
+            states[:, kept[:running] + t], counts[:, kept[:running] + t] = state[:, :running], count[:, :running]
+        own = np.empty_like(count)
+        own[:, order] = count
+        out = np.zeros((langs, len(sizes)))
+        for n in range(int(blocks.max())):
+            parts = np.flatnonzero(blocks > n)
+            block = first[parts] + n
+            # lanes: one for each language and part that enters the block inside a phrase
+            of, lane = (x.ravel() for x in np.meshgrid(np.arange(langs), np.arange(len(parts)), indexing="ij"))
+            now = last[of, parts[lane]]
+            out[of, parts[lane]] += own[of, block[lane]]
+            last[of, parts[lane]] = states[of, (place + size)[block[lane]] - 1]
+            open_ = now != self.roots[of, 0]
+            of, lane, now, extra, t = of[open_], lane[open_], now[open_], np.zeros(int(open_.sum()), np.int64), 0
+            while len(of):
+                now, closed = self._advance(of, now, codes[begin[block[lane]] + t])
+                extra += closed
+                at = place[block[lane]] + t
+                over = t + 1 == size[block[lane]]
+                done = (now == states[of, at]) | over
+                out[of[done], parts[lane[done]]] += extra[done] - counts[of[done], at[done]].astype(np.int64)
+                last[of[over], parts[lane[over]]] = now[over]
+                of, lane, now, extra, t = of[~done], lane[~done], now[~done], extra[~done], t + 1
+        return out, last
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         codes, bounds, letters = self.symbols(texts)
@@ -209,7 +256,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1, 2_000_000):
+            for part in slices(batch, 1, parse_room(len(model.langs))):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 if model.langs:
                     langs, scores = _parser(model, key).predict(texts)
@@ -218,4 +265,4 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [id_col, "lang_pred", "score"])
 
     rows = docs.select(id_col, "text")
-    return rows.mapInArrow(run, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
+    return rows.mapInArrow(lean(run), f"{id_col} {rows.schema[id_col].dataType.simpleString()}, lang_pred string, score double")

@@ -1,6 +1,9 @@
+import os
 import random
 import zlib
 
+import pytest
+
 from tessera.llm import language_id as li
 
 
@@ -27,6 +30,46 @@ def test_phrases_equal_brute_force():
         assert [got[k, i] for k in range(3)] == [greedy(text, ref) for ref in refs], text
 
 
+@pytest.mark.parametrize("room", [None, 1500])
+def test_phrases_of_long_texts_do_not_depend_on_blocks(monkeypatch, room):
+    """The greedy parse from the first symbol to the last, whatever the blocks; texts that end at a block's border too."""
+    if room:
+        monkeypatch.setattr(li, "parse_room", lambda n: room)
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(2, 9))) for _ in range(60)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    refs = tuple(f" {say(150)} " for _ in range(3))
+    parser = li.Parser(li.Model(("x", "y", "z"), refs))
+    whole = say(10_000)
+    texts = [whole[:n] for n in (1, 1023, 1024, 1025, 2048, 2049, 3100, 20_000, 50_000)] + [refs[0].strip() * 9, "a" * 5000, "ß" * 3000, "ab" * 4000]
+    codes, bounds, _ = parser.symbols(texts)
+    got = parser.phrases(codes, bounds)
+    for i, text in enumerate(texts):
+        plain = "".join(" " if c == 0 else chr(0xDF) if c == parser.width - 1 else "abcde"[c - 1] for c in codes[bounds[i] : bounds[i + 1]].tolist())
+        assert [got[k, i] for k in range(3)] == [greedy(plain, ref) for ref in refs], len(text)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no generated tables here")
+def test_accuracy_on_generated_tables(spark):
+    from tessera.llm.queries import queries
+
+    found = queries()["op7_language_id"](spark, "/root/testdata/sf0.01")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = found.join(docs.select("doc_id", "lang", "text"), "doc_id").collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in r["text"] or ""))
+    judged = [r["lang_pred"] == r["lang"] for r in rows if r["held_out"] and r["lang"] and r["lang_pred"] != "und"]
+    assert sum(judged) >= 0.97 * len(judged)
+
+
+def test_rows_without_an_id_are_predicted_and_never_learned_from(spark):
+    docs = spark.createDataFrame([(None, "ta ke lo", "aa"), (1, "ta ke lo", "aa")], "doc_id long, text string, lang string")
+    assert [r[0] for r in docs.select(li.held_out()).collect()] == [True, False]
+    assert [r["lang_pred"] for r in li.identify(docs, li.fit(docs.where(~li.held_out()))).collect()] == ["aa", "aa"]
+
+
 def test_symbols_normalise_and_blocks_cover_long_texts():
     parser = li.Parser(li.Model(("x",), (" ab cd ",)))
     codes, bounds, letters = parser.symbols(["  AB,, cd!", None or "", "123", "ab" * 5000])
