@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.llm.names import unused
+
 
 def number(rows: DataFrame, groups: list[str], spread: Column, order: list, name: str, n_bins: int) -> DataFrame:
     """``rows`` with ``name``: a number from 0 in each group.
@@ -14,13 +16,14 @@ def number(rows: DataFrame, groups: list[str], spread: Column, order: list, name
     it. Counts are summed map-side, and the rows are exchanged once, by group and bin. Choose ``n_bins`` in proportion
     to the rows, so that a bin stays small even if one group holds most of them.
     """
-    binned = rows.withColumn("__bin", F.pmod(spread, F.lit(n_bins)))
-    counts = binned.groupBy(*groups, "__bin").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*groups).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*groups, "__bin", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    in_bin = Window.partitionBy(*groups, "__bin").orderBy(*order)
-    out = binned.join(starts, [*groups, "__bin"]).withColumn(name, (F.col("__start") + F.row_number().over(in_bin) - 1).cast("long"))
-    return out.drop("__bin", "__start")
+    part, n, start = unused([*rows.columns, name], "bin", "n", "start")
+    binned = rows.withColumn(part, F.pmod(spread, F.lit(n_bins)))
+    counts = binned.groupBy(*groups, part).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy(*groups).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*groups, part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    in_bin = Window.partitionBy(*groups, part).orderBy(*order)
+    out = binned.join(starts, [*groups, part]).withColumn(name, (F.col(start) + F.row_number().over(in_bin) - 1).cast("long"))
+    return out.drop(part, start)
 
 
 def bins_for(n_rows: int, n_groups: int = 1, bin_rows: int = 20_000) -> int:

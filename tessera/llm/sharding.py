@@ -106,7 +106,7 @@ def _shard_of(bounds: list[tuple[int, int]], lo: int, hi: int) -> Column:
     if h >= 1 << 63:
         return _shard_of(bounds, lo, mid)
     least = t == -(1 << 63)
-    after = F.col("__h") >= h if least else (F.col("__h") > h) | ((F.col("__h") == h) & (F.col("__t") >= t))
+    after = F.col("h") >= h if least else (F.col("h") > h) | ((F.col("h") == h) & (F.col("t") >= t))
     return F.when(after, _shard_of(bounds, mid + 1, hi)).otherwise(_shard_of(bounds, lo, mid))
 
 
@@ -115,18 +115,16 @@ def assign(rows: DataFrame, n_shards: int, group: str, id_col: str, size: str, b
 
     Numbering: rows fall into bins of their shard by the hash of the id; a bin's first slot is the count of the bins
     before it. No task ever holds more than about ``bin_rows`` rows of a shard, and the rows are exchanged once, by
-    ``(shard, bin)``. ``rows`` are read a few times, so give a written table with narrow columns for the keys.
+    ``(shard, bin)``. Null ids are placed like others; rows that agree in group and id take their slots in any order; the
+    caller's columns may have any names, and only ``shard`` and ``slot`` are replaced. ``rows`` are read a few times, so give a written table with narrow columns for the keys.
     """
     h, t = F.xxhash64(F.col(group)), F.xxhash64(F.col(id_col))
     keys = rows.select(h.alias("h"), t.alias("t"), F.col(size).alias("size"))
     bounds = splitters(keys, n_shards, **tolerances)
-    placed = (
-        rows.drop("shard", "slot")
-        .withColumns({"__h": h, "__t": t})
-        .withColumn("shard", _shard_of(bounds, 0, len(bounds)).cast("int"))
-    )
-    out = number(placed, ["shard"], F.col("__t"), ["__h", "__t", id_col], "slot", bins_for(rows.count(), n_shards, bin_rows))
-    return out.select(*[f"`{c}`" for c in rows.columns if c not in ("shard", "slot")], "shard", "slot")
+    held = rows.select(F.struct("*").alias("row"), h.alias("h"), t.alias("t"))  # so that no name of the caller's can clash
+    placed = held.withColumn("shard", _shard_of(bounds, 0, len(bounds)).cast("int"))
+    out = number(placed, ["shard"], F.col("t"), ["h", "t"], "slot", bins_for(rows.count(), n_shards, bin_rows))
+    return out.select(*[F.col(f"row.`{c}`") for c in rows.columns if c not in ("shard", "slot")], "shard", "slot")
 
 
 def write_shards(rows: DataFrame, path: str) -> None:

@@ -61,3 +61,14 @@ def test_more_shards_than_a_round_resolves(spark):
 def test_crc_matches_zlib(spark):
     text = "ñandú 你好"
     assert spark.range(1).select(F.crc32(F.lit(text).cast("binary"))).first()[0] == zlib.crc32(text.encode())
+
+
+def test_names_of_the_caller_do_not_clash(spark):
+    names = ["h", "t", "row", "bin", "n", "start", "__h", "__t", "__bin", "__start"]
+    rows = [(i, f"text {i}", i + 1, *range(len(names))) for i in range(50)] + [(None, None, 3, *range(len(names)))] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, size long, " + ", ".join(f"{n} int" for n in names))
+    got = sharding.assign(df, 4, group="text", id_col="doc_id", size="size").collect()
+    assert len(got) == 52 and all([r[n] for n in names] == list(range(len(names))) for r in got)
+    for k in range(4):
+        own = sorted(r["slot"] for r in got if r["shard"] == k)
+        assert own == list(range(len(own)))
