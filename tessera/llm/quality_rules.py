@@ -19,6 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.memory import release
+from tessera.llm.names import unused
+
 SPACES = " \t\n\x0b\x0c\r"
 _SPACE_BYTES = SPACES.encode()
 _SYMBOL_BYTES = b"#*$%&|<>"
@@ -94,6 +97,7 @@ _HIGH = bytes(range(128, 256))
 def _measures(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         yield pd.DataFrame([measure(t) for t in texts], columns=list(MEASURES), dtype="int64")
+    release()
 
 
 def fail_bits(rules: dict[str, str] | None = None) -> Column:
@@ -113,8 +117,9 @@ def mask(policy: str | tuple[str, ...]) -> int:
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the measurements and ``fail_bits``: each rule evaluated once, nothing decided yet."""
-    out = docs.withColumn("__m", _measures(F.col(text)))
-    out = out.withColumns({name: F.col(f"__m.{name}") for name in MEASURES}).drop("__m")
+    (held,) = unused([*docs.columns, *MEASURES], "measured")
+    out = docs.withColumn(held, _measures(F.col(text)))
+    out = out.withColumns({name: F.col(f"{held}.{name}") for name in MEASURES}).drop(held)
     return out.withColumn("fail_bits", fail_bits())
 
 

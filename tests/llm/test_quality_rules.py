@@ -60,3 +60,9 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert q.apply_policy(q.ledger(docs)).count() == 0
     assert q.apply_quality_rules(docs).count() == 0
+
+
+def test_names_of_the_caller_do_not_clash(spark):
+    docs = spark.createDataFrame([(1, "some words of a text", "a", "b", "c")], "doc_id long, text string, __m string, measured string, Measured_ string")
+    row = q.ledger(docs).first()
+    assert (row["__m"], row["measured"], row["Measured_"], row["n_words"]) == ("a", "b", "c", 5)
