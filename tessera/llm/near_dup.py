@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
+from tessera.llm.memory import lean
 from tessera.llm.runs import by_runs, column, pairs_of
 from tessera.llm.scratch import Scratch
 from tessera.llm.words import hashes, mix, slices, split
@@ -117,7 +118,7 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1) * bands, pa.int32()), pa.array(key.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), pa.array(s1), pa.array(s2), lists, pa.array([x.tobytes() for x in short], pa.binary()), pa.array(z, pa.binary())], ["doc_id", "n_shingles", "s1", "s2", "bands", "sig", "z"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sig binary, z binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sig binary, z binary")
 
 
 def _sets(packed: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +195,7 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
                 ok = pa.array(_linked(pa.concat_arrays([part.column(4), part.column(5)]), np.arange(m), np.arange(m) + m, size, percent))
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(ok), part.column(1).filter(ok)], ["a", "b"])
 
-    return joined.select("a", "b", "sa", "sb", "za", "zb").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "sa", "sb", "za", "zb").mapInArrow(lean(run), "a long, b long")
 
 
 def _tile_links(size: int, percent: int):

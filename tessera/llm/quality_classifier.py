@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.memory import lean
 from tessera.llm.words import hashes, mix, slices, split
 
 BUCKETS = 4096
@@ -150,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs: in
                     yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "cols", "vals"])
 
     some = docs.select("doc_id", "text").where(F.col("doc_id").isin(list(chosen)))
-    rows = sorted(some.mapInArrow(sparse, f"doc_id {some.schema['doc_id'].dataType.simpleString()}, cols binary, vals binary").collect(), key=lambda r: (r["doc_id"], bytes(r["cols"])))
+    rows = sorted(some.mapInArrow(lean(sparse), f"doc_id {some.schema['doc_id'].dataType.simpleString()}, cols binary, vals binary").collect(), key=lambda r: (r["doc_id"], bytes(r["cols"])))
     if not rows:
         return empty
     x = np.zeros((len(rows), buckets + STATS), np.float32)
@@ -173,4 +174,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", cut: float = 0.
                     yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(s), pa.array((s >= cut).astype(np.int32))], [id_col, "score", "predicted"])
 
     rows = docs.select(id_col, "text")
-    return rows.mapInArrow(run, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, score double, predicted int")
+    return rows.mapInArrow(lean(run), f"{id_col} {rows.schema[id_col].dataType.simpleString()}, score double, predicted int")

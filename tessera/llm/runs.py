@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessera.llm.memory import lean
+
 
 def by_runs(rows: DataFrame, keys: list[str], work: Callable[[pa.Table, np.ndarray], pa.Table], schema: str, chunk_rows: int = 50_000, chunk_bytes: int = 16_000_000) -> DataFrame:
     """``work(table, group)`` on chunks of whole groups, equal ``keys`` next to each other and numbered by ``group``.
@@ -43,7 +45,7 @@ def by_runs(rows: DataFrame, keys: list[str], work: Callable[[pa.Table, np.ndarr
             table = pa.Table.from_batches(held).combine_chunks()
             yield from work(table, groups(table)).to_batches()
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(run), schema)
 
 
 def pairs_of(group: np.ndarray, side: np.ndarray, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:

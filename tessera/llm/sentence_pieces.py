@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessera.llm.memory import lean
 from tessera.llm.words import slices
 
 SPACE = "▁"
@@ -285,7 +286,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], [id_col, "ids"])
 
     rows = docs.select(id_col, "text")
-    return rows.mapInArrow(run, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, ids array<int>")
+    return rows.mapInArrow(lean(run), f"{id_col} {rows.schema[id_col].dataType.simpleString()}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -304,4 +305,4 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, step), part, pa.array(texts, pa.string())], [id_col, "ids", "text"])
 
     rows = encoded.select(id_col, "ids")
-    return rows.mapInArrow(run, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, ids array<int>, text string")
+    return rows.mapInArrow(lean(run), f"{id_col} {rows.schema[id_col].dataType.simpleString()}, ids array<int>, text string")

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.memory import lean
 from tessera.llm.scratch import Scratch
 from tessera.llm.words import hashes, mix, powers, slices, split
 
@@ -163,7 +164,7 @@ def shared_anchors(keyed: DataFrame, length: int, buckets: int) -> DataFrame:
             ids, keys, pos = ids[hit], keys[hit], pos[hit]
         return _by_row(np.concatenate([ids, own_ids]), np.concatenate([keys, own_keys]), np.concatenate([pos, own_pos]))
 
-    met = keyed.mapInArrow(anchors, _PACKED).groupBy("bucket").applyInArrow(meet, "doc_id long, __key long, places binary")
+    met = keyed.mapInArrow(lean(anchors), _PACKED).groupBy("bucket").applyInArrow(meet, "doc_id long, __key long, places binary")
     return met.groupBy("doc_id", "__key").agg(F.collect_list("places").alias("places"))
 
 
@@ -218,7 +219,7 @@ def repeated_windows(candidates: DataFrame, length: int, buckets: int) -> DataFr
             ids, keys, pos = ids[hit], keys[hit], pos[hit]
         return _by_row(np.concatenate([ids, own_ids]), np.concatenate([keys, own_keys]), np.concatenate([pos, own_pos]))
 
-    met = candidates.mapInArrow(extend, _PACKED).groupBy("bucket").applyInArrow(meet, "doc_id long, __key long, places binary")
+    met = candidates.mapInArrow(lean(extend), _PACKED).groupBy("bucket").applyInArrow(meet, "doc_id long, __key long, places binary")
     return met.groupBy("doc_id", "__key").agg(F.collect_list("places").alias("places"))
 
 
@@ -295,7 +296,7 @@ def digest(docs: DataFrame, length: int = 50) -> DataFrame:
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("__key"))
     joined = keyed.join(find(docs, length), ["doc_id", "__key"], "left").select("doc_id", "text", "places")
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return joined.mapInArrow(lean(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 ORACLE_SQL = """
