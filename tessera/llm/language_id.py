@@ -77,7 +77,10 @@ def fit(docs: DataFrame, docs_per_lang: int = 80) -> Model:
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
-    """Transitions of the automaton of all substrings; state 0 is the empty one."""
+    """Transitions of the automaton of all substrings; state 0 is the empty one.
+
+    States are in order of their shortest substrings, so that those met most often lie together in memory.
+    """
     moves: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for s in symbols:
@@ -103,12 +106,17 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    return moves
+    depth = np.array([length[k] + 1 if k >= 0 else 0 for k in link])
+    order = np.argsort(depth, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    place = place.tolist()
+    return [{s: place[to] for s, to in moves[state].items()} for state in order.tolist()]
 
 
 def parse_room(n_langs: int) -> int:
     """Symbols that are parsed at once, so that what is kept of a parse has a bound."""
-    return max(BLOCK, min(1_000_000, 4_000_000 // max(1, n_langs)))
+    return max(BLOCK, min(2_000_000, 8_000_000 // max(1, n_langs)))
 
 
 class Parser:
@@ -141,12 +149,16 @@ class Parser:
             roots.append(base)
             base, n_rows = base + len(moves), n_rows + len(wide)
             del moves, one
-        self.symbol, self.following, self.row_of = (np.concatenate(x) for x in (symbol, following, row_of))
+        symbol, following, row_of = (np.concatenate(x) for x in (symbol, following, row_of))
         self.table = np.concatenate(tables).ravel()
         self.roots = np.array(roots, np.int32)[:, None]
-        first = self.table.reshape(-1, self.width)[self.row_of[self.roots[:, 0]]]
+        first = self.table.reshape(-1, self.width)[row_of[self.roots[:, 0]]]
         self.restart = np.where(first < 0, self.roots, first)  # an unseen symbol is a phrase by itself: back to the root
         self.alone = (first < 0).astype(np.int32)
+        # by state: its one symbol and the state after it, or no symbol and where its row of the table begins
+        one = row_of == 0
+        self.ways = np.where(one, symbol.astype(np.int64) << 40 | np.where(following < 0, 0, following), -1 << 40 | row_of * np.int64(self.width))
+        self.ways[one & (symbol < 0)] = -2 << 40  # the end of a reference text: no way on
         self.bits = np.log2(np.array([[max(2, len(t))] for t in model.texts], float))
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,10 +174,19 @@ class Parser:
 
     def _advance(self, lang: np.ndarray, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(next state, phrases closed)`` of parses of a language each."""
-        to = np.where(self.symbol[state] == c, self.following[state], self.table[self.row_of[state] * np.int64(self.width) + c])
-        miss = to < 0
-        closed = (miss & (state != self.roots[lang, 0])) + np.where(miss, self.alone[lang, c], 0)
-        return np.where(miss, self.restart[lang, c], to), closed
+        ways = self.ways.take(state)
+        symbol = ways >> 40
+        to = (ways & ((1 << 40) - 1)).astype(np.int32)
+        other = np.flatnonzero(symbol != c)  # of those the ones with several ways on look theirs up
+        wide = other[symbol.take(other) == -1]
+        to[other[symbol.take(other) != -1]] = -1
+        to[wide] = self.table.take((ways.take(wide) & ((1 << 40) - 1)) + c.take(wide))
+        closed = np.zeros(len(state), np.int32)
+        miss = other[to.take(other) < 0]
+        of, by = lang.take(miss), c.take(miss)
+        closed[miss] = (state.take(miss) != self.roots[:, 0].take(of)) + self.alone[of, by]
+        to[miss] = self.restart[of, by]
+        return to, closed
 
     def phrases(self, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Phrases by (language, text). Long texts go on in parts, each from the states that the one before ended in."""
@@ -190,41 +211,53 @@ class Parser:
         k = np.arange(len(part)) - first[part]
         begin = starts[part] + k * BLOCK
         size = np.minimum(BLOCK, sizes[part] - k * BLOCK)
-        place = np.cumsum(size) - size  # where a block's states are kept
         order = np.argsort(-size, kind="stable")
-        start, length, kept = begin[order], size[order], place[order]
+        start, length = begin[order], size[order]
+        column = np.empty(len(part), np.int64)  # a block's place among the blocks by length
+        column[order] = np.arange(len(part))
         state = np.repeat(self.roots, len(part), axis=1)
         count = np.zeros(state.shape, np.int32)
-        states, counts = (np.zeros((langs, int(size.sum())), t) for t in (np.int32, np.uint16))
-        lang = np.arange(langs)[:, None]
+        states, counts = [], []  # by symbol of a block: of every language and block that has it
         for t in range(int(length[0])):
             running = int(np.searchsorted(-length, -t, side="left"))  # those longer than t come first
-            state[:, :running], closed = self._advance(lang, state[:, :running], codes[start[:running] + t])
-            count[:, :running] += closed
-            states[:, kept[:running] + t], counts[:, kept[:running] + t] = state[:, :running], count[:, :running]
+            now, closed = self._advance(np.repeat(np.arange(langs), running), state[:, :running].ravel(), np.tile(codes.take(start[:running] + t), langs))
+            state[:, :running] = now.reshape(langs, running)
+            count[:, :running] += closed.reshape(langs, running)
+            states.append(now.reshape(langs, running))
+            counts.append(count[:, :running].astype(np.uint16))
         own = np.empty_like(count)
         own[:, order] = count
-        out = np.zeros((langs, len(sizes)))
-        for n in range(int(blocks.max())):
-            parts = np.flatnonzero(blocks > n)
-            block = first[parts] + n
-            # lanes: one for each language and part that enters the block inside a phrase
-            of, lane = (x.ravel() for x in np.meshgrid(np.arange(langs), np.arange(len(parts)), indexing="ij"))
-            now = last[of, parts[lane]]
-            out[of, parts[lane]] += own[of, block[lane]]
-            last[of, parts[lane]] = states[of, (place + size)[block[lane]] - 1]
-            open_ = now != self.roots[of, 0]
-            of, lane, now, extra, t = of[open_], lane[open_], now[open_], np.zeros(int(open_.sum()), np.int64), 0
-            while len(of):
-                now, closed = self._advance(of, now, codes[begin[block[lane]] + t])
-                extra += closed
-                at = place[block[lane]] + t
-                over = t + 1 == size[block[lane]]
-                done = (now == states[of, at]) | over
-                out[of[done], parts[lane[done]]] += extra[done] - counts[of[done], at[done]].astype(np.int64)
-                last[of[over], parts[lane[over]]] = now[over]
-                of, lane, now, extra, t = of[~done], lane[~done], now[~done], extra[~done], t + 1
-        return out, last
+        ends = np.empty_like(state)
+        ends[:, order] = state
+        # every block as entered from the end of the block before, and again where that end turns out to be another
+        entry = np.concatenate([ends[:, :1], ends[:, :-1]], axis=1)
+        entry[:, first] = last
+        extra, exits = np.zeros(ends.shape, np.int64), ends.copy()
+        of, lane = (x.ravel() for x in np.indices(ends.shape))
+        while len(of):
+            before = exits[of, lane]
+            extra[of, lane], exits[of, lane] = self._carried(of, entry[of, lane], codes, begin[lane], size[lane], states, counts, column[lane], ends[of, lane])
+            follows = np.append(part[1:] == part[:-1], False)
+            again = (exits[of, lane] != before) & follows[lane]
+            of, lane = of[again], lane[again] + 1
+            entry[of, lane] = exits[of, lane - 1]
+        return np.add.reduceat(own + extra, first, axis=1), exits[:, first + blocks - 1]
+
+    def _carried(self, of, now, codes, begin, size, states, counts, column, ends) -> tuple[np.ndarray, np.ndarray]:
+        """``(phrases closed beyond the block's own, last state)`` of parses that enter a block in state ``now``."""
+        more, out = np.zeros(len(of), np.int64), ends.copy()
+        lane = np.flatnonzero(now != self.roots[of, 0])
+        of, now, t = of[lane], now[lane], 0
+        while len(lane):
+            now, closed = self._advance(of, now, codes.take(begin[lane] + t))
+            more[lane] += closed
+            at = column[lane]
+            met, over = now == states[t][of, at], t + 1 == size[lane]
+            done = met | over
+            more[lane[done]] -= counts[t][of[done], at[done]]
+            out[lane[over]] = now[over]
+            of, lane, now, t = of[~done], lane[~done], now[~done], t + 1
+        return more, out
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         codes, bounds, letters = self.symbols(texts)
