@@ -27,8 +27,8 @@ def hard_negatives(scored: DataFrame, top_k: int, floor: float | None = None, mo
 
 
 def collapse(mined: DataFrame, subtype: str | None = None) -> DataFrame:
-    """One row a source: its hardest pair's score. Sources with several versions are in :func:`mixed_versions`."""
-    best = mined.groupBy("stable_source_id").agg(F.max_by("source_version_id", "p_positive").alias("source_version_id"), F.max("p_positive").alias("p_positive"))
+    """One row a source: its hardest pair's score, and the first version in order that has it. Sources with several versions are in :func:`mixed_versions`."""
+    best = mined.groupBy("stable_source_id").agg(F.min_by("source_version_id", F.struct(-F.col("p_positive"), "source_version_id")).alias("source_version_id"), F.max("p_positive").alias("p_positive"))
     return best.withColumn("negative_subtype", F.lit(subtype).cast("string"))
 
 

@@ -29,12 +29,13 @@ def layout(frames: DataFrame, per_shard: int = 4096, payload_bytes: int = 1) ->
 
 
 def contiguity(packed: DataFrame) -> DataFrame:
-    """One row: whether indexes run from 0 without a gap or a repeat. Sums of numbers and of squares tell, so no shuffle by index."""
-    i = F.col("frame_index").cast("decimal(38,0)")
-    n = F.count(F.lit(1)).cast("decimal(38,0)")
-    sums = packed.agg(n.alias("n"), F.min("frame_index").alias("lo"), F.max("frame_index").alias("hi"), F.sum(i).alias("s"), F.sum(i * i).alias("q"))
-    whole = (F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1) & (2 * F.col("s") == F.col("n") * (F.col("n") - 1)) & (6 * F.col("q") == F.col("n") * (F.col("n") - 1) * (2 * F.col("n") - 1))
-    return sums.select(F.col("n").cast("long").alias("n"), F.coalesce(whole, F.lit(True)).alias("contiguous"))
+    """One row: whether indexes run from 0 without a gap or a repeat. Bitmaps tell how many differ, combined before the exchange; null is no index."""
+    place = F.col("frame_index").cast("long") + 1
+    rows = packed.groupBy(F.bitmap_bucket_number(place).alias("bucket"))
+    parts = rows.agg(F.count(F.lit(1)).alias("n"), F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(place))).alias("different"), F.min(place).alias("lo"), F.max(place).alias("hi"))
+    sums = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"), F.sum("different").alias("different"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    whole = (F.col("lo") == 1) & (F.col("hi") == F.col("n")) & (F.col("different") == F.col("n"))
+    return sums.select("n", F.when(F.col("n") == 0, F.lit(True)).otherwise(F.coalesce(whole, F.lit(False))).alias("contiguous"))
 
 
 def write(packed: DataFrame, path: str) -> None:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def latest(records: DataFrame, line: str = "line_no") -> DataFrame:
-    """The last record of each run, known by ``run_id`` or else ``output_dir``; a maximum, combined map-side."""
-    key = F.coalesce(F.nullif("run_id", F.lit("")), F.col("output_dir"))
+    """The last record of each run, known by ``run_id`` or else ``output_dir``; a maximum, combined map-side.
+
+    A record with neither, null or empty, is a run of its own.
+    """
+    name = F.coalesce(F.nullif("run_id", F.lit("")), F.nullif("output_dir", F.lit("")))
+    key = F.struct(name.alias("name"), F.when(name.isNull(), F.col(line)).alias("own"))
     rest = [c for c in records.columns if c != line]
     best = records.groupBy(key.alias("__key")).agg(F.max(F.struct(F.col(line), *[F.col(c) for c in rest])).alias("r"))
     return best.select("r.*")
@@ -36,18 +39,3 @@ def matching_reports(reports: DataFrame, checkpoint: str, identity: dict[str, st
     """Reports of a checkpoint with ``problems``: identity fields that differ or are missing on either side."""
     differs = [F.when(F.coalesce(F.col(k) != F.lit(v), F.lit(True)), F.lit(k)) for k, v in identity.items()]
     return reports.where(F.col("checkpoint_sha256") == checkpoint).withColumn("problems", F.array_compact(F.array(*differs)))
-
-
-def line_numbers(spark: SparkSession, path: str) -> DataFrame:
-    """``line_no, value``: text lines with a number that grows in file order."""
-    lines = spark.read.text(path)
-    return lines.withColumn("line_no", F.monotonically_increasing_id())
-
-
-def numeric(c: Column) -> Column:
-    return c.cast("double")
-
-
-def recent(records: DataFrame, order: Column, n: int, group: list[str]) -> DataFrame:
-    window = Window.partitionBy(*group).orderBy(order.desc())
-    return records.withColumn("n", F.row_number().over(window)).where(F.col("n") <= n).drop("n")

@@ -45,7 +45,8 @@ def shares(weighted: DataFrame, group: list[str], key: str, weight: str) -> Data
     over = Window.partitionBy(*group).orderBy(key)
     total = F.sum(weight).over(Window.partitionBy(*group))
     hi = F.sum(weight).over(over.rowsBetween(Window.unboundedPreceding, 0)) / total
-    out = rows.select(*group, key, hi.alias("hi"))
+    last = F.row_number().over(over) == F.count(F.lit(1)).over(Window.partitionBy(*group))
+    out = rows.select(*group, key, F.when(last, F.lit(1.0)).otherwise(hi).alias("hi"))  # sums may round to less than 1
     return out.withColumn("lo", F.coalesce(F.lag("hi").over(over), F.lit(0.0)))
 
 

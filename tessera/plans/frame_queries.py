@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from tessera.operators import audit, identity, packed, pairs, sampling, sidecar, split
@@ -190,14 +192,23 @@ def packed_contiguity(spark, d):
     return packed.contiguity(packed.layout(V.frames(spark, d)))
 
 
+#: Columns that are indexes of their tables, or are not.
+_INDEXES = [("nation", "n_nationkey"), ("region", "r_regionkey"), ("events", "event_id"), ("events", "user_id"), ("lineitem", "l_orderkey"), ("documents", "doc_id")]
+
+
+def contiguity_checks(spark, d):
+    checks = [packed.contiguity(load(spark, d, t).select(F.col(c).alias("frame_index"))).select(F.lit(f"{t}.{c}").alias("indexes"), "n", "contiguous") for t, c in _INDEXES]
+    return functools.reduce(lambda a, b: a.unionByName(b), checks)
+
+
 def greedy_split(spark, d):
-    return split.split(pairs.source_groups(V.frames(spark, d), "game_video"), 0.2, 17, scope="game").select("game", "stable_source_id", "split", "fresh")
+    return split.split(pairs.source_groups(V.frames(spark, d), "game_video"), 0.2, 17).select("game", "stable_source_id", "split", "fresh")
 
 
 def extend_split(spark, d):
     groups = pairs.source_groups(V.frames(spark, d), "game_video")
     old = groups.where("crc32(stable_source_id) % 4 <> 0").select("stable_source_id", F.when(F.crc32("stable_source_id") % 5 == 0, "val").otherwise("train").alias("split"))
-    return split.split(groups, 0.2, 17, existing=old, scope="game")
+    return split.split(groups, 0.2, 17, existing=old)
 
 
 def split_summary(spark, d):
@@ -254,7 +265,7 @@ _LAYOUT = "lay AS (SELECT *, row_number() OVER (ORDER BY game, label, video_id,
 
 SQL = {
     "pair_counts_by_game_label_delta": f"{ONE}, {_PAIRS} SELECT f.game, f.label, f.delta, count(p.frame0_id) AS n_pairs FROM (SELECT DISTINCT game, label, delta FROM frames, (VALUES (1), (2), (3)) d(delta)) f LEFT JOIN pr p USING (game, label, delta) GROUP BY 1, 2, 3",
-    "pairs_delta2": f"{ONE}, {_PAIRS} SELECT game, label, video_id, frame0_id, frame1_id, delta FROM pr WHERE delta = 2",
+    "pairs_delta2": f"{ONE} SELECT a.game, a.label, a.video_id, a.frame_id AS frame0_id, b.frame_id AS frame1_id, 2 AS delta FROM frames a JOIN frames b ON b.game = a.game AND b.label = a.label AND b.video_id = a.video_id AND b.frame_id = a.frame_id + 2",
     "pairs_all_deltas": f"{ONE}, {_PAIRS} SELECT game, label, delta, count(*) AS n, CAST(sum(frame1_id) AS BIGINT) AS sum_frame1, count(DISTINCT video_id) AS n_videos FROM pr GROUP BY 1, 2, 3",
     "video_summary": ONE + " " + _SUMMARY.format(_pair_sums("frames"), "frames"),
     "turn_summary": "WITH turns AS (SELECT DISTINCT 'chat' AS game, CASE WHEN role = 'user' THEN 1 ELSE 0 END AS label, CAST(conv_id AS VARCHAR) AS video_id, CAST(turn AS INTEGER) AS frame_id FROM conversations) " + _SUMMARY.format(_pair_sums("turns"), "turns"),
@@ -303,7 +314,8 @@ SELECT stable_source_id, coalesce(t, s) AS negative_subtype, coalesce(w, 1.0::DO
 FROM old FULL JOIN new USING (stable_source_id)""",
     "sidecar_conflicts": f"WITH {V.SIDECAR}, {_ENTRIES} SELECT stable_source_id, s.negative_subtype AS current, e.negative_subtype AS incoming FROM side s JOIN ent e USING (stable_source_id) WHERE nullif(s.negative_subtype, '') <> e.negative_subtype",
     "packed_layout": f"{ONE}, {_LAYOUT} SELECT game, label, video_id, frame_id, frame_index, frame_index // 4096 AS shard_id, (frame_index % 4096) * 768 AS \"offset\" FROM lay",
-    "packed_contiguity": f"{ONE} SELECT count(*) AS n, TRUE AS contiguous FROM frames",
+    "packed_contiguity": f"{ONE}, i AS (SELECT row_number() OVER (ORDER BY game, label, video_id, frame_id) - 1 AS i FROM frames) SELECT count(*) AS n, min(i) = 0 AND max(i) = count(*) - 1 AND count(DISTINCT i) = count(*) AS contiguous FROM i",
+    "contiguity_checks": " UNION ALL ".join(f"SELECT '{t}.{c}' AS indexes, count(*) AS n, coalesce(min({c}) = 0 AND max({c}) = count(*) - 1 AND count(DISTINCT {c}) = count(*), TRUE) AS contiguous FROM {t}" for t, c in _INDEXES),
     "split_summary": _GV + ", s AS (SELECT *, CASE WHEN substr(sha256('17:' || stable_source_id), 1, 16) < '3' THEN 'val' ELSE 'train' END AS side FROM grp), e AS ("
     + " UNION ALL ".join(f"SELECT side, {k} AS delta, valid_pair_count_label0_delta{k} + valid_pair_count_label1_delta{k} AS n FROM s" for k in (1, 2, 3))
     + ") SELECT delta, CAST(coalesce(sum(n) FILTER (side = 'train'), 0) AS BIGINT) AS train_pairs, CAST(coalesce(sum(n) FILTER (side = 'val'), 0) AS BIGINT) AS val_pairs, round(coalesce(CAST(sum(n) FILTER (side = 'val') AS DOUBLE) / sum(n), 0), 6) AS val_share FROM e GROUP BY delta",

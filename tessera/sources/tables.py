@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tessera.schemas import CONTRACT_VERSION, require_columns, require_stamp, stamp
 
@@ -29,24 +31,33 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str, schema: str | T.StructType, contract: bool = False) -> DataFrame:
-    """JSON lines with ``line_no`` in file order; blank and broken lines are passed over.
+    """JSON lines with ``line_no`` in the order they were written; blank and broken lines are passed over.
 
-    With ``contract`` a record of another version is an error.
+    Records of :func:`append_log` say when they were appended and in what order; others go by their file's time, its path
+    and the place in it. With ``contract`` a record of another version is an error.
     """
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else T.StructType(list(schema.fields))
-    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id()).where(F.trim("value") != "")
-    parse = T.StructType([*fields.fields, T.StructField("_broken", T.StringType())])
+    meta = F.struct(F.unix_micros(F.col("_metadata.file_modification_time").cast("timestamp")).alias("time"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("begin"))
+    lines = spark.read.text(path).select("value", meta.alias("file"), F.monotonically_increasing_id().alias("place")).where(F.trim("value") != "")
+    parse = T.StructType([*fields.fields, T.StructField("_at", T.StructType.fromDDL("time long, place long")), T.StructField("_broken", T.StringType())])
     rows = lines.withColumn("r", F.from_json("value", parse, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}))
     rows = rows.where(F.col("r").isNotNull() & F.col("r._broken").isNull())
-    out = rows.select("line_no", *[F.col(f"r.`{f.name}`").alias(f.name) for f in fields.fields])
+    # a part is what one task appended, or a block of another file: few rows, which are put in order; inside, places are
+    place = F.coalesce("r._at.place", "place")
+    part = F.struct(F.coalesce("r._at.time", "file.time").alias("time"), F.shiftright(place, 33).alias("task"), "file.path", "file.begin")
+    rows = rows.withColumns({"part": part, "place": place.bitwiseAND(F.lit((1 << 33) - 1))})
+    order = rows.select("part").distinct().withColumn("number", F.row_number().over(Window.orderBy("part")))
+    rows = rows.join(order, "part").withColumn("line_no", F.shiftleft(F.col("number").cast("long"), 33) + F.col("place"))
+    out = rows.select("line_no", *[F.col(f"r.`{f.name}`").alias(f.name) for f in fields.fields]).orderBy("line_no")
     if contract:
         out = out.withColumn("contract_version", F.when(F.col("contract_version") == CONTRACT_VERSION, F.col("contract_version")).otherwise(F.raise_error(F.lit("a record has another contract version")).cast("int")))
     return out
 
 
 def append_log(df: DataFrame, path: str) -> None:
-    """Records as JSON lines, one new file a task; what is there stays."""
-    df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("append").text(path)
+    """Records as JSON lines, one new file a task; what is there stays. ``_at`` tells the order."""
+    at = F.struct(F.lit(time.time_ns() // 1000).alias("time"), F.monotonically_increasing_id().alias("place"))
+    df.select(F.to_json(F.struct(*df.columns, at.alias("_at"))).alias("value")).write.mode("append").text(path)
 
 
 def canonical(value: object, compact: bool = True) -> str:
@@ -57,6 +68,14 @@ def canonical_sha256(value: object, compact: bool = True) -> str:
     return hashlib.sha256(canonical(value, compact).encode()).hexdigest()
 
 
+def rows_digest(df: DataFrame) -> tuple[int, str]:
+    """``(rows, digest)``: sums of parts of each row's SHA-256, so neither order nor files matter, repeats do, and the sum is combined map-side."""
+    row = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]), {"ignoreNullFields": "false"}), 256)
+    parts = [F.sum(F.conv(F.substring("row", at, 15), 16, 10).cast("decimal(38,0)")) for at in (1, 16, 31, 46)]
+    n, *sums = df.select(row.alias("row")).agg(F.count(F.lit(1)), *parts).first()
+    return n, hashlib.sha256("|".join(str(s) for s in (n, *sums)).encode()).hexdigest()
+
+
 class Bundle:
     """Tables published together: staged, renamed, and only then named in a manifest, which readers require."""
 
@@ -71,13 +90,14 @@ class Bundle:
             raise FileExistsError(f"{self.path} is there already; a published bundle does not change")
         staged = f"{self.path}.staged"
         self._fs.delete(self._path(staged), True)
-        counts = {}
+        counts, digests = {}, {}
         for name, df in tables.items():
             write_table(df, f"{staged}/{name}.parquet")
-            counts[name] = self.spark.read.parquet(f"{staged}/{name}.parquet").count()
+            counts[name], digests[name] = rows_digest(self.spark.read.parquet(f"{staged}/{name}.parquet"))
         if not self._fs.rename(self._path(staged), self._path(self.path)):
             raise OSError(f"cannot publish {self.path}")
-        manifest = {"contract_version": CONTRACT_VERSION, "tables": counts, **facts}
+        manifest = {"contract_version": CONTRACT_VERSION, "tables": counts, "digests": digests, **facts}
+        manifest["bundle_id"] = canonical_sha256({"tables": counts, "digests": digests})
         self._put("manifest.json", canonical(manifest))  # last: without it there is no bundle
         return manifest
 
@@ -97,13 +117,15 @@ class Bundle:
 
     def problems(self) -> list[str]:
         """Tables that are missing or have other rows than the manifest says."""
-        out = []
-        for name, n in self.manifest()["tables"].items():
+        out, manifest = [], self.manifest()
+        for name, n in manifest["tables"].items():
             at = f"{self.path}/{name}.parquet"
             if not self._fs.exists(self._path(at)):
                 out.append(f"{name}: missing")
-            elif self.spark.read.parquet(at).count() != n:
+            elif rows_digest(self.spark.read.parquet(at)) != (n, manifest["digests"].get(name)):
                 out.append(f"{name}: other rows than published")
+        if manifest.get("bundle_id") != canonical_sha256({"tables": manifest["tables"], "digests": manifest["digests"]}):
+            out.append("manifest: the bundle id is another")
         return out
 
     def _put(self, name: str, text: str) -> None:

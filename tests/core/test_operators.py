@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars, scoring
-from tessera.operators import audit, evaluate, gates, identity, mining, packed, pairs, sampling, selection, sidecar, split
+from tessera.operators import audit, evaluate, gates, identity, mining, packed, pairs, runs, sampling, selection, sidecar, split
 from tessera.sources import frames as frame_files
 from tessera.sources import tables
 
@@ -328,6 +328,75 @@ def test_packed_places(spark):
     assert packed.fetch(lay, spark.createDataFrame([(9,)], "frame_index long"), 8).first()["offset"] == 10
 
 
+@pytest.mark.parametrize("indexes", [[], [0], [1], [0, 2, 2, 3, 3, 4, 7, 7, 8], [0, 1, 2, None], [-1, 0, 1], [2, 0, 1], list(range(70_000)), [*range(32_768), 32_767], [0, 0]])
+def test_contiguity_is_told_from_each_index(spark, indexes):
+    """Also of repeats and gaps that leave sums and sums of squares as they were."""
+    df = spark.createDataFrame([(i,) for i in indexes], "frame_index long").repartition(3)
+    assert packed.contiguity(df).first() == (len(indexes), None not in indexes and sorted(indexes) == list(range(len(indexes))))
+
+
+def test_logs_keep_the_order_of_appending(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    tables.append_log(spark.createDataFrame([("r", "started", "")], "run_id string, status string, note string"), path)
+    tables.append_log(spark.createDataFrame([("r", "running", "x" * 5000)] * 50 + [("r", "finished", "x" * 9000)], "run_id string, status string, note string").coalesce(1), path)
+    tables.append_log(spark.createDataFrame([("s", str(i), "") for i in range(40)], "run_id string, status string, note string").repartitionByRange(4, F.col("status").cast("int")), path)
+    log = tables.read_log(spark, path, "run_id string, status string, note string").withColumn("output_dir", F.lit(None).cast("string"))
+    rows = log.orderBy("line_no").collect()
+    assert len(rows) == 92 == len({r["line_no"] for r in rows}) and "_at" not in log.columns
+    assert rows[0]["status"] == "started" and rows[51]["status"] == "finished" and [r["status"] for r in rows[52:]] == [str(i) for i in range(40)]
+    assert {r["run_id"]: r["status"] for r in runs.latest(log).collect()} == {"r": "finished", "s": "39"}
+
+
+def test_records_without_a_name_are_runs_of_their_own(spark):
+    rows = [(None, None, 1, "a"), (None, "", 2, "b"), ("", "/o", 3, "c"), (None, "/o", 4, "d"), ("r", "/o", 5, "e")]
+    df = spark.createDataFrame(rows, "run_id string, output_dir string, line_no long, status string")
+    assert sorted(r["status"] for r in runs.latest(df).collect()) == ["a", "b", "d", "e"]
+
+
+def test_a_bundle_notices_changed_rows(spark, tmp_path):
+    b = tables.Bundle(spark, str(tmp_path / "bundle"))
+    df = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "id int, name string")
+    b.publish({"t": df})
+    assert b.problems() == [] and len(b.manifest()["bundle_id"]) == 64
+    tables.write_table(df.replace("a", "b", "name"), str(tmp_path / "bundle/t.parquet"), "overwrite")  # as many rows
+    assert b.problems() == ["t: other rows than published"]
+    tables.write_table(df.repartition(3), str(tmp_path / "bundle/t.parquet"), "overwrite")  # the same rows in other files
+    assert b.problems() == []
+
+
+def test_ties_of_mined_versions_go_to_the_first(spark):
+    rows = [("s", v, 0.9) for v in ("v3", "v1", "v2")] + [("s", "v0", 0.5)]
+    df = spark.createDataFrame(rows, "stable_source_id string, source_version_id string, p_positive double").repartition(4)
+    assert mining.collapse(df).first()["source_version_id"] == "v1"
+
+
+def test_shares_end_at_one(spark):
+    rows = [(g, f"k{k:03d}", 0.1 + (g + 1) * k * 0.01) for g in range(20) for k in range(1 + 7 * g)]
+    got = sampling.shares(spark.createDataFrame(rows, "g int, k string, w double"), ["g"], "k", "w").collect()
+    for g in range(20):
+        own = sorted((r["lo"], r["hi"]) for r in got if r["g"] == g)
+        assert own[0][0] == 0 and own[-1][1] == 1.0 and all(a[1] == b[0] for a, b in zip(own, own[1:]))
+
+
+def test_strata_with_two_movable_sources_have_both_sides():
+    """Sources in one stratum or in two, some fixed: lopsided strata stay only where fixed sources alone could mend them."""
+    import random
+
+    for round_ in range(300):
+        rng = random.Random(round_)
+        uids = [f"u{i}" for i in range(rng.randint(1, 12))]
+        src = {u: {("g", x): rng.randint(0, 9) for x in rng.sample((0, 1), rng.randint(1, 2))} for u in uids}
+        old = {u: rng.choice(["train", "val"]) for u in uids if rng.random() < 0.2}
+        sides = split.assign(src, rng.choice([0.01, 0.3, 0.95]), round_, old, small="warn")
+        assert all(sides[u] == side for u, side in old.items())
+        if not old:
+            for stratum in {s for own in src.values() for s in own}:
+                own = [u for u in uids if stratum in src[u]]
+                alone = [u for u in own if any(sum(s in src[o] for o in uids) < 2 for s in src[u])]
+                if len(own) - len(alone) > 1:
+                    assert {sides[u] for u in own if u not in alone} == {"train", "val"}, (round_, stratum)
+
+
 def test_scorer(spark):
     import pandas as pd
 
