@@ -155,3 +155,17 @@ def compare(value: Column | str, op: Column | str, bound: Column | str) -> Colum
     """``value op bound`` for the four gate operators; null for any other."""
     v, o, b = _c(value), _c(op), _c(bound)
     return F.when(o == "<=", v <= b).when(o == "<", v < b).when(o == ">=", v >= b).when(o == ">", v > b)
+
+
+def html_escape(text: Column | str) -> Column:
+    """Text with the five characters that HTML gives a meaning written as references."""
+    out = _c(text)
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(sign), F.lit(name))
+    return out
+
+
+def run_id(started: Column | str, name: Column | str, salt: Column | str) -> Column:
+    """A run's folder: its day, then its time, its name as a slug and four hex digits of a salt's hash."""
+    digits = F.substring(F.sha2(_c(salt).cast("string"), 256), 1, 4)
+    return F.concat(F.date_format(_c(started), "yyyyMMdd"), F.lit("/"), F.date_format(_c(started), "HHmmss"), F.lit("_"), slugify(name), F.lit("_"), digits)

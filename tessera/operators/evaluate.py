@@ -37,6 +37,31 @@ def confusion(scored: DataFrame, threshold: float) -> DataFrame:
     return sets.select(level.alias("level"), "game", "label", "video_id", *COUNTS)
 
 
+def confusion_by_subtype(scored: DataFrame, threshold: float, subtype: str = "negative_subtype") -> DataFrame:
+    """Counts as :func:`confusion` has them and by (game, label, subtype) too, from the same partial counts; rows without a subtype are in no such group."""
+    base = decide(scored, threshold).groupBy("game", "label", "video_id", F.nullif(F.col(subtype), F.lit("")).alias("subtype")).agg(*_counts())
+    sets = base.groupingSets(
+        [["game", "label", "video_id"], ["game", "label", "subtype"], ["game", "label"], ["game"], []], "game", "label", "video_id", "subtype"
+    ).agg(*[F.sum(c).alias(c) for c in COUNTS], F.grouping_id().alias("g"))
+    level = F.when(F.col("g") == 1, LEVELS[0]).when(F.col("g") == 2, "game_label_subtype").when(F.col("g") == 3, LEVELS[1]).when(F.col("g") == 7, LEVELS[2]).otherwise(LEVELS[3])
+    return sets.where((F.col("g") != 2) | F.col("subtype").isNotNull()).select(level.alias("level"), "game", "label", "video_id", "subtype", *COUNTS)
+
+
+def quick_sample(rows: DataFrame, limit: int, world: int, position: str = "position") -> DataFrame:
+    """What each of ``world`` ranks keeps in a quick run: its first rows, as many as the limit divided by the ranks, rounded up."""
+    rank, turn = F.pmod(F.col(position), F.lit(world)), F.floor(F.col(position) / world)
+    return rows.withColumn("rank", rank).where(turn < -(-limit // world))
+
+
+def union_groups(*groups: DataFrame) -> DataFrame:
+    """Rows of several groupings under one header: all their columns in order of name, null where a grouping has none."""
+    names = sorted({c for df in groups for c in df.columns})
+    out = groups[0]
+    for df in groups[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out.select(*names)
+
+
 def group_counts(scored: DataFrame, threshold: float, *keys: str) -> DataFrame:
     return decide(scored, threshold).groupBy(*keys).agg(*_counts())
 

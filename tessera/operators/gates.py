@@ -101,3 +101,10 @@ def override(settings: dict, assignments: list[str]) -> dict:
         except ValueError:
             at[last] = raw
     return out
+
+
+def name_differences(metrics: DataFrame, gates: DataFrame) -> DataFrame:
+    """``name, problem`` of gates that ask for what a report lacks (``missing``) or has no value of (``unmeasured``)."""
+    joined = gates.select("name").distinct().join(metrics.select("name", F.col("value"), F.lit(True).alias("known")), "name", "left")
+    problem = F.when(F.col("known").isNull(), "missing").when(F.col("value").isNull() | F.isnan("value"), "unmeasured")
+    return joined.select("name", problem.alias("problem")).where("problem is not null").distinct()

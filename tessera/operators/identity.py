@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import canonical_sha256
+
 
 def content_version_ids(frames: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, content_version_id``: SHA-256 of ``n|label:frame:hash|...`` in order; null where a frame has no hash."""
@@ -44,3 +46,22 @@ def covers_content(frames: DataFrame) -> DataFrame:
     """Whether there are frames and all have a hash."""
     hashed = F.coalesce(F.col("content_sha256"), F.lit("")) != ""
     return frames.agg((F.count(F.lit(1)) > 0).alias("any"), F.coalesce(F.bool_and(hashed), F.lit(False)).alias("all")).select((F.col("any") & F.col("all")).alias("content_hash_check_enabled"))
+
+
+def dataset_identity(spark: SparkSession, artifacts: dict[str, dict[str, str]]) -> DataFrame:
+    """``split, artifact, sha256, n_files`` of what each split consumes: ``{split: {artifact: path}}``; files are hashed where they lie."""
+    rows = None
+    for split, named in sorted(artifacts.items()):
+        for artifact, path in sorted(named.items()):
+            files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+            hashes = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("h"))
+            one = hashes.agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(F.concat_ws(" ", "name", "h")))), 256).alias("sha256"), F.count(F.lit(1)).alias("n_files"))
+            one = one.select(F.lit(split).alias("split"), F.lit(artifact).alias("artifact"), "sha256", "n_files")
+            rows = one if rows is None else rows.unionByName(one)
+    return rows if rows is not None else spark.createDataFrame([], "split string, artifact string, sha256 string, n_files long")
+
+
+def components_fingerprint(components: dict[str, str | None]) -> str:
+    """SHA-256 of the components that are there, by name; empty where none is."""
+    held = {name: value for name, value in components.items() if value}
+    return canonical_sha256(held) if held else ""

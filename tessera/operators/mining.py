@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.sources.tables import read_table, write_table
+
 PAIR = ["frame0_id", "frame1_id", "delta"]
 
 
@@ -42,3 +44,18 @@ def stale(mined: DataFrame, index: DataFrame) -> DataFrame:
     """Mined sources whose version is not the index's now; a source that is gone is stale too."""
     now = index.select("stable_source_id", F.col("source_version_id").alias("current_version")).distinct()
     return mined.join(now, "stable_source_id", "left").where(~F.col("source_version_id").eqNullSafe(F.col("current_version")))
+
+
+MANIFEST = "stable_source_id string, source_version_id string, negative_subtype string, p_positive double, rank_in_video int"
+
+
+def write_manifest(mined: DataFrame, path: str) -> None:
+    """Mined rows with the manifest's columns and types; what a row does not bring is empty text, 0 or null."""
+    defaults = {"stable_source_id": F.lit(""), "source_version_id": F.lit(""), "negative_subtype": F.lit(None), "p_positive": F.lit(None), "rank_in_video": F.lit(0)}
+    wanted = [(c.split()[0], c.split()[1]) for c in MANIFEST.split(", ")]
+    columns = [(F.coalesce(F.col(name), defaults[name]) if name in mined.columns else defaults[name]).cast(kind).alias(name) for name, kind in wanted]
+    write_table(mined.select(*columns), path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return read_table(spark, path, [c.split()[0] for c in MANIFEST.split(", ")])

@@ -65,13 +65,14 @@ def summarize_videos(frames: DataFrame, keys: list[str] = VIDEO, deltas: tuple[i
 
 def video_entries(frames: DataFrame, deltas: tuple[int, ...] = DELTAS) -> DataFrame:
     """Per video: sorted frame ids, and for each delta the positions at which a pair can start."""
-    ids = distinct_frames(frames).groupBy(*VIDEO).agg(F.array_sort(F.collect_list("frame_id")).alias("frame_ids"))
+    flags = [f"pairs_{d}" for d in deltas]
+    rows = with_partners(frames, deltas).groupBy(*VIDEO).agg(F.array_sort(F.collect_list(F.struct("frame_id", *flags))).alias("rows"))
 
-    def starts(delta: int) -> Column:
-        positions = F.sequence(F.lit(0), F.size("frame_ids") - 1)
-        return F.filter(positions, lambda i: F.array_contains(F.col("frame_ids"), F.get("frame_ids", i) + delta))
+    def starts(flag: str) -> Column:
+        positions = F.sequence(F.lit(0), F.size("rows") - 1)
+        return F.filter(positions, lambda i: F.get("rows", i)[flag] > 0)
 
-    return ids.withColumns({f"valid_starts_delta{d}": starts(d) for d in deltas})
+    return rows.select(*VIDEO, F.col("rows.frame_id").alias("frame_ids"), *[starts(flag).alias(f"valid_starts_delta{d}") for flag, d in zip(flags, deltas)])
 
 
 def source_groups(frames: DataFrame, mode: str, deltas: tuple[int, ...] = DELTAS) -> DataFrame:
@@ -171,3 +172,23 @@ def index_bytes(entries: DataFrame, deltas: tuple[int, ...] = DELTAS) -> DataFra
 def pair_index(pairs: DataFrame) -> DataFrame:
     """Starts by ``game, label, video_id, delta``."""
     return pairs.groupBy("game", "label", "video_id", "delta").agg(F.array_sort(F.collect_list("frame0_id")).alias("starts"))
+
+
+def pair_lookup(entries: DataFrame, asked: DataFrame) -> DataFrame:
+    """Places in ``frame_ids`` of the frames of asked pairs (a video's key, ``frame_id``, ``delta``).
+
+    ``position`` and ``partner`` count from 0; a frame that the video does not have has none.
+    """
+    place = lambda x: F.nullif(F.array_position("frame_ids", x), F.lit(0)) - 1
+    joined = asked.join(entries.select(*VIDEO, "frame_ids"), VIDEO, "left")
+    return joined.select(*VIDEO, "frame_id", "delta", place(F.col("frame_id")).alias("position"), place(F.col("frame_id") + F.col("delta")).alias("partner"))
+
+
+def group_catalog(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct ``keys`` with ``group_id``, gapless from 0 in their order; numbered inside the first key and shifted by what comes before."""
+    rows = pairs.select(*keys).distinct()
+    per_first = rows.groupBy(keys[0]).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(keys[0]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a game
+    shifts = per_first.select(keys[0], before.alias("shift"))
+    inside = F.row_number().over(Window.partitionBy(keys[0]).orderBy(*keys)) - 1
+    return rows.join(shifts, keys[0]).select(*keys, (F.col("shift") + inside).cast("long").alias("group_id"))

@@ -53,12 +53,12 @@ def rank_key(s: Selection) -> list[Column]:
     return [F.col(s.mode).cast("double")]
 
 
-def ranked(evaluations: DataFrame, s: Selection) -> DataFrame:
+def ranked(evaluations: DataFrame, s: Selection, group: list[str] | None = None) -> DataFrame:
     """Evaluations with ``eligible``, the key's components, and ``place`` from 1, eligible ones first, older first in ties."""
     keys = rank_key(s)
     rows = evaluations.withColumns({"eligible": eligible(s), **{f"key{i}": k for i, k in enumerate(keys)}})
     order = [F.desc("eligible"), *[F.desc(f"key{i}") for i in range(len(keys))], "step"]
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # one row an evaluation of one run
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*(group or [])).orderBy(*order)))  # one row an evaluation
 
 
 def top_k(evaluations: DataFrame, s: Selection, k: int) -> DataFrame:
@@ -81,19 +81,20 @@ def best_so_far(series: DataFrame, value: str, group: list[str] | None = None, g
     return series.withColumns({"best": better(F.col(value), last), "improved": F.coalesce(won, F.col(value).isNotNull())})
 
 
-def early_stopping(series: DataFrame, group: list[str], value: str, patience: int, min_delta: float = 0.0, burn_in: int = 0, greater: bool = True) -> DataFrame:
+def early_stopping(series: DataFrame, group: list[str], value: str, patience: int, min_delta: float = 0.0, burn_in: int = 0, greater: bool = True, eligible: str | None = None) -> DataFrame:
     """Fold of each group's evaluations in order of step: ``best_value, best_step, bad_count, stop_step``.
 
     A missing value is skipped. A better value than the best by more than ``min_delta`` resets the count, also during
     burn-in, when worse ones do not count. The first step at which the count reaches ``patience`` is where it stops;
-    nothing after it counts. State is folded inside the JVM, over one run's evaluations.
+    nothing after it counts. With ``eligible``, a column, an evaluation that is not eligible is never the best and counts
+    against patience. State is folded inside the JVM, over one run's evaluations.
     """
     sign = 1.0 if greater else -1.0
     state = "named_struct('best', cast(null as double), 'best_step', cast(null as long), 'bad', 0, 'stop', cast(null as long))"
-    rows = F.array_sort(F.collect_list(F.struct(F.col("step").cast("long").alias("step"), F.col(value).cast("double").alias("v"))))
+    rows = F.array_sort(F.collect_list(F.struct(F.col("step").cast("long").alias("step"), F.col(value).cast("double").alias("v"), (F.coalesce(F.col(eligible), F.lit(False)) if eligible else F.lit(True)).alias("ok"))))
 
     def merge(acc: Column, x: Column) -> Column:
-        better = acc["best"].isNull() | (sign * x["v"] > sign * acc["best"] + F.lit(float(min_delta)))
+        better = x["ok"] & (acc["best"].isNull() | (sign * x["v"] > sign * acc["best"] + F.lit(float(min_delta))))
         bad = F.when(x["step"] < burn_in, acc["bad"]).otherwise(acc["bad"] + 1)
         won = F.struct(x["v"].alias("best"), x["step"].alias("best_step"), F.lit(0).alias("bad"), acc["stop"].alias("stop"))
         lost = F.struct(acc["best"].alias("best"), acc["best_step"].alias("best_step"), bad.alias("bad"), F.when((bad >= patience) & (x["step"] >= burn_in), x["step"]).alias("stop"))
@@ -116,3 +117,9 @@ def degradation(series: DataFrame, group: list[str], score: str, loss: str) -> D
     marks = top.select(*group, F.col(f"t.{score}").alias("best"), (-F.col("t.s")).alias("best_step"), F.col("l.s").alias("least_loss_step"))
     later = series.join(marks, group).where((F.col("step") > F.col("best_step")) & (F.col(score) < F.col("best")))
     return marks.join(later.groupBy(*group).agg(F.min("step").alias("degraded_step")), group, "left")
+
+
+def report_fields(evaluations: DataFrame, s: Selection, group: list[str] | None = None) -> DataFrame:
+    """``step, mode, eligible, score, selected``: what a report says of the selection; the best evaluation is selected."""
+    rows = ranked(evaluations, s, group)
+    return rows.select(*(group or []), "step", F.lit(s.mode).alias("mode"), "eligible", F.col("key0").alias("score"), (F.col("eligible") & (F.col("place") == 1)).alias("selected"))

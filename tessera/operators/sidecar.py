@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import read_table, rows_digest, write_table
+
 KEY = "stable_source_id"
 FIELDS = ("negative_subtype", "scene_type", "capture_domain", "difficulty", "sample_weight")
 
@@ -84,3 +86,31 @@ def not_ready_for_hard_negatives(sidecar: DataFrame, hard_subtypes: list[str]) -
         F.array(F.when(F.col("n") == 0, "the sidecar is empty"), F.when(F.lit(not hard_subtypes), "no hard subtypes are named"), F.when((F.col("n") > 0) & (F.col("hard") == 0), "no row has a hard subtype"))
     )
     return tagged.select(F.explode(reasons).alias("reason"))
+
+
+def write(rows: DataFrame, path: str) -> str:
+    """The sidecar as a table, with its fingerprint on every row; refuses rows that :func:`invalid` finds."""
+    _refuse(rows)
+    fingerprint = rows_digest(rows)[1]
+    write_table(rows.withColumn("metadata_fingerprint", F.lit(fingerprint)), path)
+    return fingerprint
+
+
+def read(spark: SparkSession, path: str) -> DataFrame | None:
+    """A written sidecar, or None where there is none; an error where rows and fingerprint do not belong together."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return None
+    found = read_table(spark, path, [KEY, "metadata_fingerprint"])
+    rows = found.drop("metadata_fingerprint")
+    _refuse(rows)
+    stamps = {r[0] for r in found.select("metadata_fingerprint").distinct().limit(2).collect()}
+    if stamps - {rows_digest(rows)[1]}:
+        raise ValueError(f"{path}: the rows are not those of the fingerprint")
+    return found
+
+
+def _refuse(rows: DataFrame) -> None:
+    problem = invalid(rows).first()
+    if problem is not None:
+        raise ValueError(f"sidecar: {problem['rule']} {problem['subject']!r}")

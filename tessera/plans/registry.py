@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import evaluate, pairs
-from tessera.plans import frame_queries, score_queries, views
+from tessera.plans import frame_queries, report_queries, score_queries, views
 
-_MODULES = (frame_queries, score_queries)
+_MODULES = (frame_queries, score_queries, report_queries)
 _NOT_QUERIES = {"load"}
 
 

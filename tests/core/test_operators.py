@@ -417,3 +417,34 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("counts").collect()] == [("g", 1, 1, 1, 1)]
+
+
+def test_sidecar_files_carry_their_fingerprint(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "x", 1.0), ("b", None, 2.0)], "stable_source_id string, negative_subtype string, sample_weight double")
+    path = str(tmp_path / "side")
+    assert sidecar.read(spark, path) is None
+    stamp = sidecar.write(rows, path)
+    found = sidecar.read(spark, path)
+    assert {r["metadata_fingerprint"] for r in found.collect()} == {stamp} and found.count() == 2
+    tables.write_table(found.replace("x", "y", "negative_subtype"), str(tmp_path / "other"))
+    with pytest.raises(ValueError):
+        sidecar.read(spark, str(tmp_path / "other"))
+    with pytest.raises(ValueError):
+        sidecar.write(rows.withColumn("sample_weight", F.lit(0.0)), str(tmp_path / "bad"))
+
+
+def test_mining_manifest_has_its_columns(spark, tmp_path):
+    mining.write_manifest(spark.createDataFrame([("s", 0.5, 1)], "stable_source_id string, p_positive float, extra int"), str(tmp_path / "m"))
+    got = mining.read_manifest(spark, str(tmp_path / "m"))
+    assert ", ".join(f"{n} {t}" for n, t in got.dtypes) == mining.MANIFEST
+    assert tuple(got.first()) == ("s", "", None, 0.5, 0)
+
+
+def test_dataset_identity_follows_the_files(spark, tmp_path):
+    for name, text in (("a/x", "1"), ("a/y", "2"), ("b/x", "1"), ("b/y", "2"), ("c/x", "1"), ("c/y", "3")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    paths = {"train": {"index": str(tmp_path / "a"), "copy": str(tmp_path / "b")}, "val": {"index": str(tmp_path / "c")}}
+    got = {(r["split"], r["artifact"]): (r["sha256"], r["n_files"]) for r in identity.dataset_identity(spark, paths).collect()}
+    assert got["train", "index"] == got["train", "copy"] != got["val", "index"] and got["val", "index"][1] == 2
+    assert identity.components_fingerprint({"a": None, "b": ""}) == "" != identity.components_fingerprint({"a": "1", "b": None}) == identity.components_fingerprint({"a": "1"})
