@@ -7,8 +7,9 @@ cover positions, so every common window contains an anchor that is aligned in bo
 compared by 128-bit fingerprints against the smallest document id that has them.
 
 Everything is exchanged as packed arrays, by buckets of hashes. Equal windows of one batch of documents are settled in
-the batch, which sends those of its smallest document only, so a passage that a third of all documents share reaches a
-bucket once a batch. The number of buckets follows the bytes of text.
+the batch, which sends those of its smallest document only, and a task remembers them: it sends them again for a still
+smaller document alone. A passage that a third of all documents share so reaches a bucket a few times a task. The number
+of buckets follows the bytes of text.
 
 Defined results: null texts and texts of fewer words than a window lose nothing; rows of equal id do not remove each
 other's words; a row with a null id neither loses words nor takes any; repeated rows are each judged; an empty table
@@ -34,6 +35,8 @@ from tessera.llm.words import hashes, mix, powers, slices, split
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (1, 5, 11, 24, 25, 27)}
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 BUCKET_BYTES = 16_000_000
+#: Hashes that a task keeps of what it has settled.
+SETTLED = 400_000
 _U = np.uint64
 
 
@@ -119,6 +122,30 @@ def _words_of(part: pa.RecordBatch, text: int) -> tuple[np.ndarray, np.ndarray,
     return hashes(words), bounds, row, np.arange(len(row)) - bounds[:-1][row]
 
 
+class _Settled:
+    """Hashes that a task has sent as met in several documents, with the least document of each: larger ones need not be sent again.
+
+    It holds ``SETTLED`` hashes at most; what it does not hold is sent, which changes no result.
+    """
+
+    def __init__(self) -> None:
+        self.h1, self.h2, self.least = np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64)
+
+    def __call__(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are held, and the least document of those."""
+        if not len(self.h1):
+            return np.zeros(len(h1), bool), np.zeros(len(h1), np.int64)
+        at = np.minimum(np.searchsorted(self.h1, h1), len(self.h1) - 1)
+        return (self.h1[at] == h1) & (self.h2[at] == h2), self.least[at]
+
+    def add(self, h1: np.ndarray, h2: np.ndarray, least: np.ndarray) -> None:
+        if len(h1) and len(self.h1) + len(h1) <= SETTLED:
+            h1, h2, least = np.append(self.h1, h1), np.append(self.h2, h2), np.append(self.least, least)
+            order = np.lexsort((least, h2, h1))
+            order = order[np.append(True, (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0))]
+            self.h1, self.h2, self.least = h1[order], h2[order], least[order]
+
+
 def shared_anchors(keyed: DataFrame, length: int, buckets: int) -> DataFrame:
     """``doc_id, __key, places``: anchors that occur in at least two documents."""
     period, cover = cover_for(length)
@@ -126,6 +153,7 @@ def shared_anchors(keyed: DataFrame, length: int, buckets: int) -> DataFrame:
     on_cover = np.isin(np.arange(period), cover)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settled = _Settled()
         for batch in batches:
             for part in slices(batch, 2):
                 ids, keys = part.column(0).to_numpy(), part.column(1).to_numpy()
@@ -143,14 +171,16 @@ def shared_anchors(keyed: DataFrame, length: int, buckets: int) -> DataFrame:
                 doc = ids[row]
                 last = np.append(first[1:], len(doc)) - 1
                 common = (doc[first] != doc[last])[group]  # two documents of this batch have it: settled here
-                sent = ~common | new
+                known = settled(hashed, hashed)[0]
+                tell = common & new & ~known
+                settled.add(hashed[tell], hashed[tell], doc[tell])
+                sent = (~common | new) & ~known
                 bucket = (hashed >> _U(40)).astype(np.int64) % buckets
                 flag = common.astype(_U)  # nearly all zero, which packs to nothing
                 yield _batch(list(_packed(bucket[sent], [hashed[sent], flag[sent], pos[sent]], ids, keys, row[sent], 0)))
-                own = common & ~new
-                if own.any():  # one row, to any bucket
-                    none = np.zeros(int(own.sum()), _U)
-                    yield _batch(list(_packed(np.full(len(none), int(bucket[0])), [none, none, pos[own]], ids, keys, row[own], 1)))
+                if not sent.all():  # one row, to any bucket
+                    none = np.zeros(int((~sent).sum()), _U)
+                    yield _batch(list(_packed(np.full(len(none), int(bucket[0])), [none, none, pos[~sent]], ids, keys, row[~sent], 1)))
 
     def meet(table: pa.Table) -> pa.Table:
         ids, keys, hashed, flag, pos = _unpack(table, 0)
@@ -177,6 +207,7 @@ def repeated_windows(candidates: DataFrame, length: int, buckets: int) -> DataFr
     gram = min(8, length)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settled = _Settled()
         for batch in batches:
             for part in slices(batch, 2):
                 ids, keys = part.column(0).to_numpy(), part.column(1).to_numpy()
@@ -199,8 +230,13 @@ def repeated_windows(candidates: DataFrame, length: int, buckets: int) -> DataFr
                 order = np.lexsort((ids[row], h2, h1))
                 h1, h2, least, row, pos = h1[order], h2[order], least[order], row[order], pos[order]
                 new = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
-                smallest = ids[row][np.flatnonzero(new)][np.cumsum(new) - 1]
-                sent = ids[row] == smallest  # the others' words go: a smaller document of this batch has them
+                doc = ids[row]
+                smallest = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+                known, held = settled(h1, h2)
+                sent = (doc == smallest) & ~(known & (doc > held))  # the others' words go: a smaller document of this task has them
+                last = np.append(new[1:], True)
+                shared = new & (doc != doc[np.flatnonzero(last)][np.cumsum(new) - 1]) & ~(known & (doc >= held))
+                settled.add(h1[shared], h2[shared], doc[shared])
                 bucket = (least >> _U(24)).astype(np.int64) % buckets
                 yield _batch(list(_packed(bucket[sent], [h1[sent], h2[sent], pos[sent]], ids, keys, row[sent], 0)))
                 if not sent.all():
