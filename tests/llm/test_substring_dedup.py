@@ -60,22 +60,6 @@ def test_equals_brute_force(spark, length, seed):
     assert sorted((r["doc_id"] or -1, WORD.findall(r["text"] or "")) for r in cut.collect()) == sorted((w[0] or -1, w[4]) for w in want)
 
 
-@pytest.mark.parametrize("room", [0, 30, 400_000])
-def test_tasks_of_many_batches(spark, monkeypatch, room):
-    """What a task has settled before is not sent again, whatever the order of ids and however little it can remember."""
-    monkeypatch.setattr(sd, "SETTLED", room)
-    rows = corpus(random.Random(9), 20, 90)
-    random.Random(10).shuffle(rows)
-    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    try:
-        got = [tuple(r) for r in sd.digest(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 20).collect()]
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
-    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
-    assert sorted(got, key=key) == sorted((w[:4] for w in brute(rows, 20)), key=key)
-
-
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert sd.digest(docs).count() == 0 and sd.remove(docs).count() == 0
