@@ -170,12 +170,13 @@ def sidecar_left_join(spark, d):
 
 
 def sidecar_orphans(spark, d):
-    return sidecar.orphans(V.sidecar(spark, d), _entries(spark, d).where("cast(stable_source_id as long) % 3 <> 0"))
+    """Labelled sources without a frame."""
+    return sidecar.orphans(V.sidecar(spark, d), V.frames(spark, d).select(F.col("video_id").alias("stable_source_id")).distinct())
 
 
 def sidecar_upsert(spark, d):
-    existing = V.sidecar(spark, d).where("cast(stable_source_id as long) % 2 = 0").withColumn("negative_subtype", F.nullif("negative_subtype", F.lit("")))
-    incoming = _entries(spark, d).select("stable_source_id", "negative_subtype").where("cast(stable_source_id as long) % 5 < 3")
+    existing = V.sidecar(spark, d).withColumn("negative_subtype", F.nullif("negative_subtype", F.lit("")))
+    incoming = _entries(spark, d).select("stable_source_id", "negative_subtype")
     return sidecar.upsert(existing, incoming, "overwrite")[0]
 
 
@@ -305,10 +306,10 @@ v AS (
   UNION ALL SELECT 'source_in_two_splits', stable_source_id FROM o)
 SELECT rule, count(*) AS n, min(subject) AS first_subject FROM v GROUP BY rule""",
     "sidecar_left_join": f"WITH {V.SIDECAR}, {_ENTRIES} SELECT stable_source_id, coalesce(nullif(s.negative_subtype, ''), e.negative_subtype) AS negative_subtype, coalesce(s.sample_weight, 1.0::DOUBLE) AS sample_weight FROM ent e LEFT JOIN side s USING (stable_source_id)",
-    "sidecar_orphans": f"WITH {V.SIDECAR} SELECT stable_source_id FROM side WHERE NOT (CAST(stable_source_id AS BIGINT) % 3 <> 0 AND CAST(stable_source_id AS BIGINT) IN (SELECT doc_id FROM documents))",
+    "sidecar_orphans": f"WITH {V.SIDECAR}, {V.FRAMES} SELECT stable_source_id FROM side WHERE stable_source_id NOT IN (SELECT video_id FROM frames)",
     "sidecar_upsert": f"""WITH {V.SIDECAR}, {_ENTRIES},
-old AS (SELECT stable_source_id, nullif(negative_subtype, '') AS s, sample_weight AS w, TRUE AS had FROM side WHERE CAST(stable_source_id AS BIGINT) % 2 = 0),
-new AS (SELECT stable_source_id, negative_subtype AS t, TRUE AS got FROM ent WHERE CAST(stable_source_id AS BIGINT) % 5 < 3)
+old AS (SELECT stable_source_id, nullif(negative_subtype, '') AS s, sample_weight AS w, TRUE AS had FROM side),
+new AS (SELECT stable_source_id, negative_subtype AS t, TRUE AS got FROM ent)
 SELECT stable_source_id, coalesce(t, s) AS negative_subtype, coalesce(w, 1.0::DOUBLE) AS sample_weight,
   CASE WHEN had IS NULL THEN 'new' WHEN t IS NOT NULL AND t IS DISTINCT FROM s THEN 'updated' ELSE 'unchanged' END AS status
 FROM old FULL JOIN new USING (stable_source_id)""",

@@ -161,17 +161,18 @@ def gate_checks(spark, d):
     return _rounded(gates.check(values, specs), "value")
 
 
-def _history(spark, d):
-    """Each game's evaluations: 200 events are one, its metrics are means over them."""
+def _history(spark, d, *group):
+    """Evaluations of each group, or of each game: 200 events are one, its metrics are means over them."""
     e = V.events(spark, d).withColumn("step", F.floor((F.col("step") - 1) / 200).cast("long"))
-    return e.groupBy("game", "step").agg(F.avg("p").alias("global_recall"), F.avg(F.col("label").cast("double")).alias("worst_game_recall"), F.max("p").alias("negative_score_p999"), F.min("p").alias("global_fpr"), F.avg(1 - F.col("p")).alias("worst_game_f1"))
+    return e.groupBy(*(group or ["game"]), "step").agg(F.avg("p").alias("global_recall"), F.avg(F.col("label").cast("double")).alias("worst_game_recall"), F.max("p").alias("negative_score_p999"), F.min("p").alias("global_fpr"), F.avg(1 - F.col("p")).alias("worst_game_f1"))
 
 
 SELECT = selection.Selection("constrained", {"max_global_fpr": 0.02, "min_positive_recall": 0.4}, 0.3)
 
 
 def _one_run(spark, d):
-    return _history(spark, d).where("game = 'g1'").drop("game")
+    """All events as the evaluations of one run."""
+    return _history(spark, d, F.lit(0).alias("run")).drop("run")
 
 
 def selection_ranking(spark, d):
@@ -201,8 +202,8 @@ def degradation_marker(spark, d):
 
 
 def generalization_gap(spark, d):
-    h = _history(spark, d)
-    return _rounded(selection.generalization_gap(h.where("game = 'g1'"), h.where("game = 'g2'"), "global_recall"), "gap")
+    h = _history(spark, d, (F.col("game") < "g2").alias("probe"))  # games are known or probes
+    return _rounded(selection.generalization_gap(h.where("not probe"), h.where("probe"), "global_recall"), "gap")
 
 
 def latest_run_records(spark, d):
@@ -259,7 +260,8 @@ _CE = _SOFT.format("(CASE WHEN label = 1 THEN -margin ELSE margin END)")
 _POOL = "pool AS (SELECT *, game || '::' || video_id AS stable_source_id, game || '::' || video_id || '#v1' AS source_version_id FROM scored), pp AS (SELECT source_version_id, stable_source_id, game, video_id, frame0_id, frame1_id, delta, max(p) AS p_positive FROM pool WHERE label = 0 AND p >= 0.5 GROUP BY ALL), top AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY source_version_id ORDER BY p_positive DESC, frame0_id, frame1_id, delta) - 1 AS INTEGER) AS rank_in_video FROM pp) WHERE rank_in_video < 2)"
 _MINED = "mined AS (SELECT stable_source_id, max(p_positive) AS p_positive, max(source_version_id) AS source_version_id FROM top GROUP BY 1)"
 _HISTORY = "hist AS (SELECT game, CAST(floor(CAST(step - 1 AS DOUBLE) / 200) AS BIGINT) AS step, avg(p) AS global_recall, avg(CAST(label AS DOUBLE)) AS worst_game_recall, max(p) AS negative_score_p999, min(p) AS global_fpr, avg(1 - p) AS worst_game_f1 FROM ev GROUP BY 1, 2)"
-_RANKED = "rk AS (SELECT step, global_fpr <= CAST(0.02 AS DOUBLE) AND global_recall >= CAST(0.4 AS DOUBLE) AND worst_game_f1 >= CAST(0.3 AS DOUBLE) AS eligible, global_recall, worst_game_recall, negative_score_p999 FROM hist WHERE game = 'g1'), pl AS (SELECT step, eligible, CAST(row_number() OVER (ORDER BY eligible DESC, global_recall DESC, worst_game_recall DESC, negative_score_p999, step) AS INTEGER) AS place FROM rk)"
+_RUN = "run AS (SELECT CAST(floor(CAST(step - 1 AS DOUBLE) / 200) AS BIGINT) AS step, avg(p) AS global_recall, avg(CAST(label AS DOUBLE)) AS worst_game_recall, max(p) AS negative_score_p999, min(p) AS global_fpr, avg(1 - p) AS worst_game_f1 FROM ev GROUP BY 1)"
+_RANKED = "rk AS (SELECT step, global_fpr <= CAST(0.02 AS DOUBLE) AND global_recall >= CAST(0.4 AS DOUBLE) AND worst_game_f1 >= CAST(0.3 AS DOUBLE) AS eligible, global_recall, worst_game_recall, negative_score_p999 FROM run), pl AS (SELECT step, eligible, CAST(row_number() OVER (ORDER BY eligible DESC, global_recall DESC, worst_game_recall DESC, negative_score_p999, step) AS INTEGER) AS place FROM rk)"
 
 SQL = {
     "confusion_grouping_sets": f"{_S} SELECT CASE WHEN grouping(video_id) = 0 THEN 'game_label_video' WHEN grouping(label) = 0 THEN 'game_label' WHEN grouping(game) = 0 THEN 'game' ELSE 'global' END AS level, game, label, video_id, {_CNT} FROM d GROUP BY GROUPING SETS ((game, label, video_id), (game, label), (game), ())",
@@ -311,12 +313,12 @@ f(game, i, best, best_step, bad, stop) AS (
   FROM f JOIN n ON n.game = f.game AND n.i = f.i + 1)
 SELECT game, round(best, 9) AS best_value, best_step, bad AS bad_count, stop AS stop_step FROM f WHERE i = (SELECT max(i) FROM n WHERE n.game = f.game)""",
     "gate_checks": f"{_S}, c AS (SELECT {_CNT} FROM d), v AS (SELECT unnest(['precision', 'recall', 'fpr', 'accuracy']) AS name, unnest([{_div('tp', 'tp + fp')}, {_div('tp', 'tp + fn')}, {_div('fp', 'fp + tn')}, {_div('tp + tn', 'tp + fp + fn + tn')}]) AS value FROM c), g(name, op, bound) AS (VALUES ('fpr', '<=', CAST(0.01 AS DOUBLE)), ('recall', '>=', 0.8), ('precision', '>', 0.2), ('accuracy', '<', 0.99), ('absent', '>=', 0.5)), r AS (SELECT name, op, bound, value, coalesce(CASE op WHEN '<=' THEN value <= bound WHEN '<' THEN value < bound WHEN '>=' THEN value >= bound ELSE value > bound END, FALSE) AS passed FROM g LEFT JOIN v USING (name)) SELECT *, CASE WHEN value IS NULL THEN 'metric absent' WHEN passed THEN 'ok' ELSE 'failed' END AS detail FROM r",
-    "selection_ranking": f"{_E}, {_HISTORY}, {_RANKED} SELECT step, eligible, place FROM pl",
-    "topk_registry": f"{_E}, {_HISTORY}, {_RANKED} SELECT step, eligible FROM pl WHERE place <= 5",
-    "composite_ranking": f"{_E}, {_HISTORY}, k AS (SELECT step, (global_recall * 2 + worst_game_recall) / 3 AS key0 FROM hist WHERE game = 'g1') SELECT step, CAST(row_number() OVER (ORDER BY key0 DESC, step) AS INTEGER) AS place, round(key0, 9) AS key0 FROM k",
+    "selection_ranking": f"{_E}, {_RUN}, {_RANKED} SELECT step, eligible, place FROM pl",
+    "topk_registry": f"{_E}, {_RUN}, {_RANKED} SELECT step, eligible FROM pl WHERE place <= 5",
+    "composite_ranking": f"{_E}, {_RUN}, k AS (SELECT step, (global_recall * 2 + worst_game_recall) / 3 AS key0 FROM run) SELECT step, CAST(row_number() OVER (ORDER BY key0 DESC, step) AS INTEGER) AS place, round(key0, 9) AS key0 FROM k",
     "best_so_far": f"{_E}, {_HISTORY}, b AS (SELECT game, step, global_recall AS v, max(global_recall) OVER (PARTITION BY game ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM hist) SELECT game, step, round(greatest(v, coalesce(last, v)), 9) AS best, coalesce(v > last, TRUE) AS improved FROM b",
     "degradation_marker": f"{_E}, {_HISTORY}, t AS (SELECT game, max(global_recall) AS best, min(global_fpr) AS low FROM hist GROUP BY game), m AS (SELECT game, best, (SELECT min(step) FROM hist h WHERE h.game = t.game AND h.global_recall = best) AS best_step, (SELECT min(step) FROM hist h WHERE h.game = t.game AND h.global_fpr = low) AS least_loss_step FROM t) SELECT game, round(best, 9) AS best, best_step, least_loss_step, (SELECT min(step) FROM hist h WHERE h.game = m.game AND h.step > best_step AND h.global_recall < best) AS degraded_step FROM m",
-    "generalization_gap": f"{_E}, {_HISTORY} SELECT step, round(b.global_recall - a.global_recall, 9) AS gap FROM hist a JOIN hist b USING (step) WHERE a.game = 'g1' AND b.game = 'g2'",
+    "generalization_gap": f"{_E}, h AS (SELECT CAST(floor(CAST(step - 1 AS DOUBLE) / 200) AS BIGINT) AS step, game < 'g2' AS probe, avg(p) AS global_recall FROM ev GROUP BY 1, 2) SELECT step, round(b.global_recall - a.global_recall, 9) AS gap FROM h a JOIN h b USING (step) WHERE NOT a.probe AND b.probe",
     "latest_run_records": "WITH r AS (SELECT CASE WHEN user_id % 3 <> 0 THEN 'run' || user_id END AS run_id, '/out/' || user_id AS output_dir, event_id, event_type FROM events) SELECT run_id, output_dir, event_type FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(run_id, output_dir) ORDER BY event_id DESC) AS n FROM r) WHERE n = 1",
     "last_run_records": "SELECT event_id AS line_no, event_type FROM events ORDER BY event_id DESC LIMIT 25",
     "metric_series": "SELECT event_id AS step, value FROM events WHERE event_type = 'purchase' AND user_id % 2 = 0 AND value > 100",
