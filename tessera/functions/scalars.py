@@ -80,6 +80,13 @@ def margin_of_threshold(threshold: float) -> float:
     return math.log(threshold / (1 - threshold))
 
 
+def log_odds(p: Column | str) -> Column:
+    """``ln(p / (1 - p))`` as doubles have it: infinite at 0 and 1, NaN outside of them, null for null alone."""
+    x = _c(p)
+    odds = F.when(x == 1, F.lit(math.inf)).otherwise(F.try_divide(x, 1 - x))
+    return F.when(odds == 0, F.lit(-math.inf)).when(odds < 0, F.lit(math.nan)).otherwise(F.log(odds))
+
+
 def probability(margin: Column | str) -> Column:
     """Sigmoid without overflow."""
     m = _c(margin)

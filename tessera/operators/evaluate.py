@@ -18,8 +18,8 @@ LEVELS = ("game_label_video", "game_label", "game", "global")
 
 
 def decide(scored: DataFrame, threshold: float) -> DataFrame:
-    """``predicted``: the margin is strictly over the threshold's."""
-    return scored.withColumn("predicted", (F.col("margin") > F.lit(margin_of_threshold(threshold))).cast("int"))
+    """``predicted``: the margin is strictly over the threshold's; one that is null is not."""
+    return scored.withColumn("predicted", F.when(F.col("margin") > F.lit(margin_of_threshold(threshold)), 1).otherwise(0))
 
 
 def _counts(predicted: str = "predicted", label: str = "label") -> list[Column]:
@@ -258,7 +258,7 @@ def confidence_counts(scored: DataFrame) -> DataFrame:
 def loss_summary(scored: DataFrame, threshold: float, safety: float, temperature: float, ce_weight: float = 1.0, threshold_weight: float = 1.0) -> DataFrame:
     """Means of cross entropy, Brier score and threshold loss, their weighted objective, and the share of positives over the margin."""
     cutoff = margin_of_threshold(threshold)
-    over = F.when(F.col("label") == 1, (F.col("margin") > cutoff + safety).cast("double"))
+    over = F.when(F.col("label") == 1, F.when(F.col("margin") > cutoff + safety, 1.0).otherwise(0.0))
     means = scored.agg(
         F.avg(cross_entropy()).alias("cross_entropy"),
         F.avg((F.col("p") - F.col("label")) ** 2).alias("brier"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.scalars import log_odds
 from tessera.session import load
 
 THRESHOLD = 0.99
@@ -57,7 +58,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("value") / 500
     return e.select(
         F.concat(F.lit("g"), (F.col("user_id") % 5).cast("string")).alias("game"), F.col("event_type").isin("purchase", "signup").cast("int").alias("label"),
-        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("video_id"), F.col("event_id").alias("step"), "event_type", p.alias("p"), F.log(p / (1 - p)).alias("margin"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("video_id"), F.col("event_id").alias("step"), "event_type", p.alias("p"), log_odds(p).alias("margin"),
     )
 
 
