@@ -7,7 +7,7 @@ import pytest
 
 from tessera.plans import registry
 
-QUERIES = ["confusion_with_subtypes", "group_rows_union", "loss_summary", "pairwise_rank_penalty", "subtype_negative_counts"]
+QUERIES = ["confusion_with_subtypes", "group_rows_union", "loss_summary", "pairwise_rank_penalty", "subtype_negative_counts", "tail_ohem"]
 
 
 @pytest.mark.parametrize("odd", [0.0, 500.0, 560.21, None])
