@@ -64,6 +64,7 @@ class Encoder:
         self.byte_level = "ByteLevel" in type(self.tokenizer.pre_tokenizer).__name__ and self.tokenizer.normalizer is None
         self.line_end = self._ids(["\n"])[0] if self.byte_level else []
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what the cache held when it was last full; what is used again comes back
         self.cache_chunks = cache_chunks
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
@@ -104,9 +105,12 @@ class Encoder:
         """Little-endian 32-bit ids of each text."""
         cut = [self.chunks(t) if t else [] for t in texts]
         used = set().union(*cut)
-        if len(self.cache) > self.cache_chunks:  # what these texts have stays: mostly what all texts have
-            self.cache = {c: self.cache[c] for c in used if c in self.cache}
+        if len(self.cache) > self.cache_chunks:
+            self.older, self.cache = self.cache, {}
         fresh = list(used.difference(self.cache))
+        if self.older:
+            self.cache.update((c, self.older[c]) for c in fresh if c in self.older)
+            fresh = [c for c in fresh if c not in self.older]
         if fresh:
             self._learn(fresh)
         get = self.cache.__getitem__

@@ -141,3 +141,14 @@ def test_chunks_give_the_ids_of_the_whole_text(texts):
     texts = [t.encode("utf-8", "ignore").decode() for t in texts] + ["x <|endoftext|>", "it's we'll  don't\n\n 'tis 12 34.5"]
     want = [e.ids for e in ENCODER.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(b, "<u4").tolist() for b in ENCODER.encode(texts)] == want
+
+
+def test_chunks_that_come_back_after_a_full_cache_are_not_encoded_again():
+    encoder = packing.Encoder(tokenizer_file("byte_bpe_50k.json"), cache_chunks=3)
+    learnt, learn = [], encoder._learn
+    encoder._learn = lambda fresh: learnt.extend(fresh) or learn(fresh)
+    texts = ["one two three four", "five six", "one seven", "two five eight"]
+    got = [encoder.encode([t])[0] for t in texts]
+    whole = packing.Encoder(tokenizer_file("byte_bpe_50k.json"))
+    assert got == [np.array(whole._ids([t])[0], "<u4").tobytes() for t in texts]
+    assert sorted(learnt) == sorted(["one", " two", " three", " four", "five", " six", " seven", "two", " eight", " five"])
