@@ -139,8 +139,8 @@ def test_components_of_paths_stars_and_loops(spark):
 def test_links_held_by_many_tasks_need_no_rounds(spark, monkeypatch):
     from tessera.llm import components as cc
 
-    monkeypatch.setattr(cc, "AT_ONCE", 100)
+    monkeypatch.setattr(cc, "AT_ONCE", 200)
     monkeypatch.setattr(cc, "_large_star", lambda edges: pytest.fail("a round of stars"))
     links = [(i, i + 1) for i in range(60)] * 8  # every task has the same ones
-    df = spark.createDataFrame(links, "a long, b long").coalesce(8).repartition(8)
+    df = spark.createDataFrame(spark.sparkContext.parallelize(links, 8), "a long, b long")
     assert {(r["node"], r["component"]) for r in components(df, Scratch(spark, "cc")).collect()} == {(i, 0) for i in range(1, 61)}
