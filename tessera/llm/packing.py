@@ -55,7 +55,7 @@ class Encoder:
     _MARK = re.compile(r"[,.][ \n](?<=[\W_]..)", re.DOTALL)
     _CUT = re.compile(r"(?<=\S)(?=[ \n])")  # \S is narrower in Python than in the tokenizer, so a cut is always right
 
-    def __init__(self, path: str, cache_chunks: int = 500_000):
+    def __init__(self, path: str, cache_chunks: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 

@@ -152,3 +152,13 @@ def test_chunks_that_come_back_after_a_full_cache_are_not_encoded_again():
     whole = packing.Encoder(tokenizer_file("byte_bpe_50k.json"))
     assert got == [np.array(whole._ids([t])[0], "<u4").tobytes() for t in texts]
     assert sorted(learnt) == sorted(["one", " two", " three", " four", "five", " six", " seven", "two", " eight", " five"])
+
+
+def test_a_cache_of_many_chunks_is_kept():
+    enc = packing.Encoder(tokenizer_file("byte_bpe_50k.json"))
+    enc.cache = dict.fromkeys(map(str, range(700_000)), b"")
+    enc.encode(["a few words of text"])
+    assert not enc.older and len(enc.cache) > 700_000
+    enc.cache.update(dict.fromkeys(map(str, range(700_000, 900_000)), b""))
+    enc.encode(["a few words more"])
+    assert len(enc.older) > 900_000 and len(enc.cache) < 10
